@@ -14,9 +14,8 @@ HOT_SHARE = 0.01
 def hot_keys(rows: DataFrame, keys: list[str], share: float = HOT_SHARE) -> list[tuple]:
     """The keys that hold at least ``share`` of the rows: at most ``1 / share``. Counted over all rows, map-side first."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    # one row, so this is a scalar, not a product of two tables
-    hot = counts.join(F.broadcast(total), F.col("n") >= F.col("total") * F.lit(share), "inner")
+    total = rows.count()
+    hot = counts.where(F.col("n") >= F.lit(total * share))
     return [tuple(r[k] for k in keys) for r in hot.select(*keys).collect()]
 
 
