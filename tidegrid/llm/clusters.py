@@ -3,8 +3,11 @@
 Two records of one block are similar if their codes have the same length and differ in at most ``most`` places and their
 means differ by at most ``near``. Rows that agree in block, code and cell of the mean are one node first (all of a cell are
 mutually similar), so copies cost nothing. Similar nodes are found by equal code segments: of ``most`` + 1 segments one must
-be equal. A bucket of nodes with the same segment that grows beyond ``bucket`` is split by segments of the rest of the code,
-which is exact again, up to ``levels`` times; what is still larger is joined as it is, so no link is lost.
+be equal, so nodes meet in buckets of (block, length, segment, cell). Nodes of a small bucket are compared by a join. Of a
+bucket with more than ``small`` nodes only a spanning forest of similar pairs comes out, never its pairs: nodes that agree in
+all but one place are linked by sorting, then what is not in the largest group is compared with all, in blocks. A bucket
+beyond ``large`` nodes is cut into blocks that meet pair by pair in tasks of their own, so no task holds a whole hot bucket
+and no link between groups is lost.
 
 The clusters are the rows linked by similarity. They are built in rounds on this sparse graph: every cluster names its best
 neighbour, all mutual best pairs (and the clusters that name a member of one) merge in parallel, and edges are relabelled,
@@ -17,6 +20,10 @@ equally good neighbours are broken by a hash of the pair; an empty table gives n
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,58 +64,122 @@ def _differences(a: Column, b: Column, size: int) -> Column:
     return total
 
 
-def similar_pairs(nodes: DataFrame, most: int, near: float, scale: int = 1000, bucket: int = 64, levels: int = 3) -> DataFrame:
-    """Pairs (a, b, away) of similar nodes, a < b, each once; ``away`` grows with code and mean distance.
-
-    ``levels`` of segments are tried; how many, and the widest code, are read from the nodes (two aggregates).
-    """
-    ascii_only = F.col("code").rlike(r"^[\x00-\x7f]*$")
+def similar_pairs(nodes: DataFrame, most: int, near: float, scale: int = 1000, small: int = 24, large: int = 4096) -> DataFrame:
+    """Pairs (a, b, away) of similar nodes, a < b, each once, that link whatever is linked; ``away`` grows with the
+    differences of code and mean. How wide the widest code is, is read from the nodes (one aggregate)."""
     longest = nodes.agg(F.max(F.length("code"))).first()[0] or 1
     size = -(-longest // _PACK)
-    parts = most + 1
-    limit = round(near * scale)
-    base = nodes.select("node", "block", "code", "cell", "low", "high", F.length("code").alias("len"), F.when(ascii_only, _packed(F.col("code"), longest)).alias("packed"))
-
-    def segment(code: Column, k: Column) -> tuple[Column, Column]:
-        start = F.floor(F.length(code) * k / parts).cast("int")
-        stop = F.floor(F.length(code) * (k + 1) / parts).cast("int")
-        return F.substring(code, start + 1, stop - start), F.concat(F.substring(code, F.lit(1), start), F.substring(code, stop + 1, F.length(code)))
-
-    key = ["block", "len", "trail", "cell"]
-    todo = base.withColumn("rest", F.col("code")).withColumn("trail", F.lit(""))
-    found = []
-    for level in range(levels):
-        k = F.col("k")
-        cut, rest = segment(F.col("rest"), k)
-        keyed = todo.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("cut", cut).withColumn("rest", rest)
-        keyed = keyed.withColumn("trail", F.concat_ws("/", "trail", F.col("k").cast("string"), "cut")).drop("k", "cut")
-        last = level == levels - 1
-        if not last:
-            # a bucket is all that meets in one join key: the cell and the next one
-            heavy = keyed.select(*key).withColumn("cell", F.explode(F.array(F.col("cell"), F.col("cell") - 1))).groupBy(*key).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > bucket).drop("c")
-            heavy = written(heavy, "heavy")
-            several = heavy.select("block", "len", "trail").distinct()
-            light = keyed.join(several, ["block", "len", "trail"], "left_anti")
-            todo = keyed.join(several, ["block", "len", "trail"], "left_semi")
-            some = bool(several.take(1))
-        else:
-            light, some = keyed, False
-        found.append(_meet(light, key, most, limit, size))
-        if not some:
-            break
-    pairs = found[0]
-    for p in found[1:]:
-        pairs = pairs.unionByName(p)
-    return pairs.groupBy("a", "b").agg(F.min("away").alias("away"))
-
-
-def _meet(keyed: DataFrame, key: list[str], most: int, limit: int, size: int) -> DataFrame:
-    own = [F.col(c) for c in key]
-    columns = ["node", "code", "low", "high", "packed"]
-    left = keyed.select(*own, F.col("cell").alias("cell_a"), *[F.col(c).alias(f"{c}_a") for c in columns]).withColumn("cell", F.explode(F.array(F.col("cell_a"), F.col("cell_a") + 1)))
-    right = keyed.select(*own, *[F.col(c).alias(f"{c}_b") for c in columns])
-    pairs = left.join(right, key).where((F.col("cell") > F.col("cell_a")) | (F.col("node_a") < F.col("node_b")))
-    apart = F.greatest(F.lit(0), F.when(F.col("cell") > F.col("cell_a"), F.col("low_b") - F.col("high_a")).otherwise(F.lit(0)))
+    parts, limit = most + 1, round(near * scale)
+    k, code = F.col("k"), F.col("code")
+    start, stop = F.floor(F.length(code) * k / parts).cast("int"), F.floor(F.length(code) * (k + 1) / parts).cast("int")
+    keyed = nodes.select("node", "block", "code", "cell", "low", "high", F.length("code").alias("len"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("k"))
+    keyed = keyed.withColumn("segment", F.substring(code, start + 1, stop - start))
+    key = ["block", "len", "k", "segment"]
+    # a bucket is all that meets under one key: the nodes of a cell and those of the next one
+    count = keyed.select(*key, F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("cell")).groupBy(*key, "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    count = written(count, "buckets")
+    own = keyed.withColumn("at", F.col("cell"))
+    both = own.unionByName(keyed.withColumn("at", F.col("cell") - 1))
+    met = both.join(count.withColumnRenamed("cell", "at"), [*key, "at"])
+    ascii_only = code.rlike(r"^[\x00-\x7f]*$")
+    light = met.where(F.col("n") <= small).withColumn("packed", F.when(ascii_only, _packed(code, longest)))
+    pairs = _meet(light, [*key, "at"], most, limit, size)
+    heavy = met.where(F.col("n") > small).withColumn("blocks", F.ceil(F.col("n") / large).cast("int"))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    heavy = heavy.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    heavy = heavy.withColumn("first", F.least("mine", "other")).withColumn("second", F.greatest("mine", "other"))
+    forest = heavy.groupBy(*key, "at", "first", "second").applyInPandas(_forest(most, limit), "a bigint, b bigint, away bigint")
+    return pairs.unionByName(forest).groupBy("a", "b").agg(F.min("away").alias("away"))
+
+
+def _roots(parent: np.ndarray) -> np.ndarray:
+    while (up := parent[parent]).tolist() != parent.tolist():
+        parent = up
+    return parent
+
+
+def spanning_pairs(codes: np.ndarray, cell: np.ndarray, low: np.ndarray, high: np.ndarray, most: int, limit: int) -> list[tuple[int, int, int]]:
+    """Pairs (i, j, away) of similar items that link whatever is linked among them. ``codes``: a row of characters each."""
+    n, length = codes.shape
+    parent, out = np.arange(n), []
+
+    def gap(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        up = np.where(cell[i] < cell[j], low[j] - high[i], low[i] - high[j])
+        return np.where(cell[i] == cell[j], 0, np.where(np.abs(cell[i] - cell[j]) == 1, np.maximum(up, 0), limit + 1))
+
+    def link(i: np.ndarray, j: np.ndarray, places: np.ndarray) -> None:
+        nonlocal parent
+        apart = gap(i, j)
+        use = (places <= most) & (apart <= limit) & (parent[i] != parent[j])
+        i, j, away = i[use], j[use], (places[use] * 1_000_000 + apart[use]).astype(np.int64)
+        order = np.argsort(away, kind="stable")
+        up = parent.tolist()
+
+        def find(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for x, y, w in zip(i[order].tolist(), j[order].tolist(), away[order].tolist(), strict=True):
+            a, b = find(x), find(y)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                out.append((x, y, w))
+        parent = _roots(np.array(up))
+
+    mixer = np.random.default_rng(1).integers(1, 1 << 62, length, dtype=np.uint64) | np.uint64(1)
+    terms = codes.astype(np.uint64) * mixer
+    whole = terms.sum(axis=1, dtype=np.uint64)
+    for p in range(-1, length):
+        part = whole if p < 0 else whole - terms[:, p]
+        order = np.lexsort((cell, part))
+        i, j = order[:-1], order[1:]
+        near = part[i] == part[j]
+        i, j = i[near], j[near]
+        if len(i):
+            link(i, j, (codes[i] != codes[j]).sum(axis=1))
+    letters, ranks = np.unique(codes, return_inverse=True)
+    hot = np.zeros((n, length * len(letters)), np.float32)
+    hot[np.arange(n)[:, None], np.arange(length) * len(letters) + ranks.reshape(n, length)] = 1
+    rest = np.flatnonzero(parent != np.bincount(parent).argmax())
+    step = max(1, (4 << 20) // max(n, 1))
+    for at in range(0, len(rest), step):
+        i = rest[at : at + step]
+        places = length - np.rint(hot[i] @ hot.T).astype(np.int64)
+        x, y = np.nonzero((places <= most) & (parent[i][:, None] != parent[None, :]))
+        if len(x):
+            a, b, d = i[x], y, places[x, y]
+            pair = np.minimum(parent[a], parent[b]) * n + np.maximum(parent[a], parent[b])
+            ok = gap(a, b) <= limit
+            a, b, d, pair = a[ok], b[ok], d[ok], pair[ok]
+            order = np.lexsort((d, pair))
+            first = order[np.r_[True, np.diff(pair[order]) != 0]] if len(order) else order
+            link(a[first], b[first], d[first])
+    return out
+
+
+def _forest(most: int, limit: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(bucket: pd.DataFrame) -> pd.DataFrame:
+        length = int(bucket["len"].iloc[0])
+        codes = np.frombuffer("".join(bucket["code"]).encode("utf-32-le"), np.uint32).reshape(len(bucket), length) if length else np.zeros((len(bucket), 0), np.uint32)
+        cell, node = bucket["cell"].to_numpy(), bucket["node"].to_numpy()
+        found = spanning_pairs(codes, cell, bucket["low"].to_numpy(), bucket["high"].to_numpy(), most, limit)
+        at = bucket["at"].iloc[0]
+        # pairs within the next cell are found in its own bucket
+        kept = [(min(node[i], node[j]), max(node[i], node[j]), w) for i, j, w in found if cell[i] == at or cell[j] == at]
+        return pd.DataFrame(kept, columns=["a", "b", "away"], dtype="int64")
+
+    return run
+
+
+def _meet(light: DataFrame, key: list[str], most: int, limit: int, size: int) -> DataFrame:
+    columns = ["node", "code", "cell", "low", "high", "packed"]
+    left = light.where("cell = at").select(*key, *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = light.select(*key, *[F.col(c).alias(f"{c}_b") for c in columns])
+    above = F.col("cell_b") > F.col("cell_a")
+    pairs = left.join(right, key).where(above | (F.col("node_a") < F.col("node_b")))
+    apart = F.greatest(F.lit(0), F.when(above, F.col("low_b") - F.col("high_a")).otherwise(F.lit(0)))
     slow = F.size(F.filter(F.zip_with(F.split("code_a", ""), F.split("code_b", ""), lambda x, y: ~x.eqNullSafe(y)), lambda d: d))
     places = F.when(F.col("packed_a").isNotNull() & F.col("packed_b").isNotNull(), _differences(F.col("packed_a"), F.col("packed_b"), size)).otherwise(slow)
     pairs = pairs.where(apart <= limit).withColumn("places", places).where(F.col("places") <= most)
@@ -124,7 +195,8 @@ def linked(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     label = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("cluster", F.col("node")), "labels")
     for _ in range(most_rounds):
         if not edges.take(1):
-            return label
+            smallest = label.groupBy("cluster").agg(F.min("node").alias("least"))
+            return label.join(smallest, "cluster").select("node", F.col("least").alias("cluster"))
         order = F.struct("away", F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("h"), F.col("b").alias("to"))
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "away"))
         best = both.groupBy("a").agg(F.min(order).alias("best")).select(F.col("a").alias("c"), F.col("best.to").alias("to"))
@@ -145,30 +217,33 @@ def linked(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def clusters(df: DataFrame, row_id: str, block: str, codes: list[str], mean: str, most: int = 4, near: float = 0.125) -> DataFrame:
-    """(id, block, cluster, links) of all rows that take part: cluster is its smallest row id, links the number of rows
-    linked to the row (copies included), 0 for a row alone."""
+    """(id, block, code, mean, cluster) of all rows that take part; a cluster is named by its smallest row id."""
     rows, nodes = nodes_of(df, row_id, block, codes, mean, near)
     nodes = written(nodes, "nodes")
-    pairs = written(similar_pairs(nodes, most, near), "pairs")
-    label = linked(pairs)
-    weight = nodes.select("node", "n")
-    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    degree = ends.join(weight.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("n").alias("outside"))
-    known = nodes.join(label, "node", "left").join(degree, "node", "left")
-    # node pairs of neighbouring cells are linked if any of their rows are; links count nodes' rows as a whole
-    known = known.select("block", "code", "cell", F.coalesce("cluster", "node").alias("cluster"), (F.coalesce("outside", F.lit(0)) + F.col("n") - 1).alias("links"))
-    return rows.join(known, ["block", "code", "cell"]).select("id", "block", "cluster", "links")
+    label = linked(written(similar_pairs(nodes, most, near), "pairs"))
+    known = nodes.join(label, "node", "left").select("block", "code", "cell", F.coalesce("cluster", "node").alias("cluster"))
+    return rows.join(known, ["block", "code", "cell"]).select("id", "block", "code", "mean", "cluster")
 
 
 def described(members: DataFrame, top: int = 3, salts: int = 16) -> DataFrame:
-    """Size and the ``top`` most typical members (most links, then smallest id) of each cluster.
+    """Size and the ``top`` most typical members of each cluster: those that differ from the cluster's usual code (the most
+    frequent character of each place) in fewest places, then lie nearest to its mean, then by id.
 
-    Candidates are ranked within salted parts of a cluster first, so a cluster of any size is never sorted in one task.
+    The usual code is counted per place, map-side first, and candidates are ranked within salted parts of a cluster first,
+    so a cluster of any size is never gathered or sorted in one task.
     """
-    order = [F.col("links").desc(), F.col("id")]
-    part = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    sizes = members.groupBy("block", "cluster").agg(F.count(F.lit(1)).alias("size"), F.avg("mean").alias("middle"))
+    alike = members.groupBy("cluster", "code").agg(F.count(F.lit(1)).alias("n"))
+    places = alike.select("cluster", "n", F.posexplode(F.split("code", "")).alias("place", "letter"))
+    votes = places.groupBy("cluster", "place", "letter").agg(F.sum("n").alias("n"))
+    usual = votes.groupBy("cluster", "place").agg(F.max_by("letter", F.struct("n", "letter")).alias("letter"))
+    usual = usual.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "letter"))), lambda x: x["letter"]).alias("usual"))
+    about = sizes.join(usual, "cluster")
+    unlike = F.size(F.filter(F.zip_with(F.split("code", ""), F.col("usual"), lambda x, y: ~x.eqNullSafe(y)), lambda d: d))
+    judged = members.join(about.drop("block"), "cluster").withColumn("unlike", unlike).withColumn("off", F.abs(F.col("mean") - F.col("middle")))
+    order = ["unlike", "off", "id"]
+    part = judged.select("cluster", *order, F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
     best = part.withColumn("r", F.row_number().over(Window.partitionBy("cluster", "salt").orderBy(*order))).where(F.col("r") <= top)
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(*order))).where(F.col("r") <= top)
-    typical = best.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("typical_ids"))
-    sizes = members.groupBy("block", "cluster").agg(F.count(F.lit(1)).alias("size"))
-    return sizes.join(typical, "cluster").select("block", "cluster", "size", F.array_join(F.transform("typical_ids", lambda x: x.cast("string")), ",").alias("typical_ids"))
+    typical = best.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("ids"))
+    return sizes.join(typical, "cluster").select("block", "cluster", "size", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("typical_ids"))

@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,6 +58,8 @@ TRUSTED = (
     r"! latex error", r"! undefined control sequence", r"no pages of output", r"\byour (?:title|abstract|text|name|keywords) here", r"\btemplate\b.{0,60}\b(?:delete|replace|instructions)",
     r"\btitle of (?:the|your) (?:paper|article)\b", r"\b(?:insert title|untitled)\b", r"\btitel der arbeit\b", r"\btítulo del artículo\b", r"\btitre de l'article\b", r"(?:论文|文章)标题", r"\bpaper title\b", r"\bfirst author\b", r"\bauthor one\b", r"\bname surname\b", r"\bvorname\b", r"\bprénom\b", r"\bnombre (?:y )?apellido", r"作者姓名", r"\btext of the (?:section|introduction)\b", r"\bbody of the section goes\b",
 )
+# Plain strings some of which most documents with a trusted record hold; they only widen the fit sample.
+HINTS = ("orem ipsum", "asdf", "dummy text", "blindtext", "\\lipsum", "JavaScript", "goes here", "INSERT ", "TO BE ADDED", "[[", "<<", "@@", "__", "${", "#{", "???", "XXX ", "LaTeX Error", "Undefined control", "No pages of", "Author One", "First Author", "Name Surname", "Your Title", "itle Here", "404 Not", "Error 404", "503 Service", "502 Bad")
 _DOLLAR_PLACE = re.compile("|".join(DOLLAR_PLACES))
 _PLACE = re.compile("|".join(PLACES))
 _PLACE_HINT = re.compile(r"\{\{|[<\[@#&|]|__|\?\?|XXX|VAR")
@@ -214,13 +217,13 @@ def fit_on(df: DataFrame, id_column: str, text: str, fit_docs: int = 6000, fit_t
     docs = df.select(df[id_column].alias("id"), df[text].alias("text")).where("text is not null and id is not null")
     h = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30))
     total = max(docs.count(), 1)
-    hint = F.lower("text").rlike("|".join(TRUSTED)) | F.col("text").rlike("|".join([*DOLLAR_PLACES, *PLACES[:5], *PLACES[6:12]]))
     share = min(1.0, fit_docs / total)
-    # trusted documents are a few percent; the hash range that holds about ``fit_trusted`` of them at one percent
-    wide = min(1.0, 100 * fit_trusted / total)
+    # documents with a hint are a few percent; the hash range that holds about ``fit_trusted`` of them at three percent
+    wide = min(1.0, 33 * fit_trusted / total)
+    hint = reduce(lambda a, b: a | b, [F.col("text").contains(x) for x in HINTS])
     sampled = h < F.lit(int(share * (1 << 30)))
     pick = docs.where(sampled | ((h < F.lit(int(wide * (1 << 30)))) & hint)).select("text", sampled.alias("sampled"))
-    rows = _examples(pick.limit(fit_docs * 2 + fit_trusted * 4))
+    rows = _examples(pick)
     # trusted records beyond the sample count as much as their sampled share would
     extra, own = sum(t and not s for _, t, s in rows), sum(t and s for _, t, s in rows)
     weight = max(0.05, min(1.0, own * (1 / share - 1) / extra * share)) if extra and own and share < 1 else 1.0
