@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.session import written
+
 #: Grid times made from one row at once; a longer gap is exploded in pieces of this size.
 PIECE = 4096
 
@@ -57,6 +59,7 @@ def regular_grid(
         marks = marks.join(slots.select(*k, "slot"), [*k, "slot"], "left_anti")
         slots = slots.unionByName(marks, allowMissingColumns=True)
     slots = slots.withColumn("block", F.floor(F.col("slot") / block))
+    slots = written(slots, "slots")  # used for the pairs and for the blocks' first slots
     within = Window.partitionBy(*k, "block").orderBy("slot", "kind")
     paired = slots.withColumn("next", F.lead(F.struct("slot", "v", "kind")).over(within))
     firsts = slots.groupBy(*k, "block").agg(F.min(F.struct("slot", "kind", "v")).alias("first"))
