@@ -208,7 +208,7 @@ def _examples(df: DataFrame) -> list[tuple[set[str], bool, bool]]:
             t, s, w = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(t, pa.bool_()), pa.array(s, pa.bool_()), pa.array(w, pa.list_(pa.string()))], names=["trusted", "sampled", "seen"])
 
-    return [(set(r["seen"]), r["trusted"], r["sampled"]) for r in df.mapInArrow(run, _EXAMPLE).toLocalIterator(prefetchPartitions=True)]
+    return [(set(r["seen"]), r["trusted"], r["sampled"]) for r in df.mapInArrow(run, _EXAMPLE).collect()]
 
 
 def fit_on(df: DataFrame, id_column: str, text: str, fit_docs: int = 6000, fit_trusted: int = 3000) -> ResidueModel:
