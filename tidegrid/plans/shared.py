@@ -1,0 +1,25 @@
+"""Queries whose text is plain SQL: Catalyst plans them over views of the tables, and the oracle runs the same text."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidegrid.session import table
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings league_matches match_removals betting_odds sax_encoding match_odds total_handicap handicap_lines mix_targets pack_sizes".split()
+_NAMES = re.compile(r"\b(?:FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b", re.I)
+
+
+def shared(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query from SQL text; only the tables it names are read."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        for name in sorted(set(x.lower() for x in _NAMES.findall(text))):
+            table(spark, sf, name).createOrReplaceTempView(name)
+        return spark.sql(text)
+
+    run.__doc__ = text
+    return run
