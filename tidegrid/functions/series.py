@@ -182,4 +182,4 @@ def mindist(a: Column, b: Column, word: int, k: int, variant: str = "search") ->
         return F.ascii(F.substring(s, i, F.lit(1))) - 97
 
     cost = F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), F.lit(0.0), lambda s, i: s + F.coalesce(F.get(table, letter(a, i) * k + letter(b, i)), F.lit(0.0)))
-    return F.when(F.coalesce(m, F.lit(0)) <= 0, F.lit(float("inf"))).otherwise(F.sqrt(cost / word))
+    return F.when(a.isNull() | b.isNull() | (m <= 0), F.lit(float("inf"))).otherwise(F.sqrt(cost / word))

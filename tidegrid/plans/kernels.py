@@ -107,7 +107,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
     """Three parallel series per order; an order has few lines, so its arrays are small."""
     rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"))).alias("r"))
-    return rows.select("l_orderkey", *[F.transform("r", lambda s, c=c: s[c]).alias(a) for c, a in (("l_quantity", "h"), ("l_extendedprice", "d"), ("l_discount", "a"))])
+    return rows.select("l_orderkey", *[F.col(f"r.{c}").alias(a) for c, a in (("l_quantity", "h"), ("l_extendedprice", "d"), ("l_discount", "a"))])
 
 
 _L = "SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) AS h, list(l_extendedprice ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) AS d, list(l_discount ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) AS a FROM lineitem GROUP BY l_orderkey"
@@ -213,10 +213,10 @@ def x18(spark: SparkSession, sf: str) -> DataFrame:
     return t.join(w.select("label", F.col("vec_id").alias("b"), "word"), "label").where("a <> b").select("a", "b", F.round(series.mindist(F.col("wa"), F.col("word"), WORD, ALPHABET), 6).alias("dist"))
 
 
-@_query("ref_f08_tolerance", "SELECT t.id AS t_id, b.id FROM betting_odds t JOIN betting_odds b ON t.bookmaker_name = b.bookmaker_name AND t.id <> b.id AND t.id % 50 = 0 AND b.final_win > 0 AND t.final_win > 0 AND abs(CAST(b.final_win AS DOUBLE) - CAST(t.final_win AS DOUBLE)) <= CAST(t.final_win AS DOUBLE) * 0.01 WHERE t.bookmaker_name IN ('Korrel', 'Lanternbet')")
+@_query("ref_f08_tolerance", "SELECT t.id AS t_id, b.id FROM betting_odds t JOIN betting_odds b ON t.bookmaker_name = b.bookmaker_name AND t.id <> b.id AND t.id % 50 = 0 AND b.final_win > 0 AND t.final_win > 0 AND abs(CAST(b.final_win AS DOUBLE) - CAST(t.final_win AS DOUBLE)) <= CAST(t.final_win AS DOUBLE) * 0.01")
 def f08(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows within one percent of the price of every fiftieth row, for two bookmakers."""
-    rows = table(spark, sf, "betting_odds").where("bookmaker_name in ('Korrel', 'Lanternbet')").select("id", "bookmaker_name", F.col("final_win").cast("double").alias("w"))
+    """Rows of the same bookmaker within one percent of the price of every fiftieth row."""
+    rows = table(spark, sf, "betting_odds").select("id", "bookmaker_name", F.col("final_win").cast("double").alias("w"))
     t = rows.where("id % 50 = 0").select(F.col("id").alias("t_id"), "bookmaker_name", F.col("w").alias("tw"))
     return asof.band_join(t, rows, ["bookmaker_name"], "tw", "w", 1.0).where("id <> t_id").select("t_id", "id")
 
@@ -284,17 +284,17 @@ def j11(spark: SparkSession, sf: str) -> DataFrame:
     return asof.asof_backward(left, right, "user_id", "ts", "last_view").select("event_id", "last_view")
 
 
-@_query("ref_k01_upsert_overwrite", "WITH old AS (SELECT id, match_id, final_score FROM league_matches WHERE id % 2 = 0), new AS (SELECT id, match_id, final_score FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY created_at DESC, id DESC) AS r FROM league_matches WHERE id % 3 = 0) x WHERE r = 1) SELECT * FROM new UNION ALL SELECT * FROM old WHERE match_id NOT IN (SELECT match_id FROM new)")
+@_query("ref_k01_upsert_overwrite", "WITH old AS (SELECT id, match_id, final_score FROM league_matches WHERE created_at < TIMESTAMP '2020-01-01'), new AS (SELECT id, match_id, final_score FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY created_at DESC, id DESC) AS r FROM league_matches WHERE created_at >= TIMESTAMP '2018-01-01') x WHERE r = 1) SELECT * FROM new UNION ALL SELECT * FROM old WHERE match_id NOT IN (SELECT match_id FROM new)")
 def k01(spark: SparkSession, sf: str) -> DataFrame:
-    """Two deliveries of the match table: the rows of the one (every third id) written over the other's (every second)."""
+    """Two deliveries of the match table that overlap in time: the later written over the earlier."""
     m = table(spark, sf, "league_matches").select("id", "match_id", "final_score", "created_at")
-    return upsert.overwrite(m.where("id % 2 = 0"), m.where("id % 3 = 0"), ["match_id"], [F.col("created_at").desc(), F.col("id").desc()]).drop("created_at")
+    return upsert.overwrite(m.where("created_at < '2020-01-01'"), m.where("created_at >= '2018-01-01'"), ["match_id"], [F.col("created_at").desc(), F.col("id").desc()]).drop("created_at")
 
 
-@_query("ref_k02_insert_absent", "WITH old AS (SELECT id, match_id, bookmaker FROM total_handicap WHERE id % 2 = 0), new AS (SELECT id, match_id, bookmaker FROM (SELECT *, row_number() OVER (PARTITION BY match_id, bookmaker ORDER BY created_at DESC, id DESC) AS r FROM total_handicap t WHERE id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM old WHERE old.match_id = t.match_id AND old.bookmaker = t.bookmaker)) x WHERE r = 1) SELECT * FROM old UNION ALL SELECT * FROM new")
+@_query("ref_k02_insert_absent", "WITH old AS (SELECT id, match_id, bookmaker FROM total_handicap WHERE created_at < TIMESTAMP '2020-01-01'), new AS (SELECT id, match_id, bookmaker FROM (SELECT *, row_number() OVER (PARTITION BY match_id, bookmaker ORDER BY created_at DESC, id DESC) AS r FROM total_handicap t WHERE created_at >= TIMESTAMP '2018-01-01' AND NOT EXISTS (SELECT 1 FROM old WHERE old.match_id = t.match_id AND old.bookmaker = t.bookmaker)) x WHERE r = 1) SELECT * FROM old UNION ALL SELECT * FROM new")
 def k02(spark: SparkSession, sf: str) -> DataFrame:
     h = table(spark, sf, "total_handicap").select("id", "match_id", "bookmaker", "created_at")
-    return upsert.insert_absent(h.where("id % 2 = 0"), h.where("id % 3 = 0"), ["match_id", "bookmaker"], [F.col("created_at").desc(), F.col("id").desc()]).drop("created_at")
+    return upsert.insert_absent(h.where("created_at < '2020-01-01'"), h.where("created_at >= '2018-01-01'"), ["match_id", "bookmaker"], [F.col("created_at").desc(), F.col("id").desc()]).drop("created_at")
 
 
 @_query("ref_t08_seeded_sample")
