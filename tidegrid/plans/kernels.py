@@ -52,12 +52,12 @@ def _d_letters(x: str, marks: list[float]) -> str:
 _GAUSS = series.gaussian_breakpoints(ALPHABET)
 
 
-def _flat(df: DataFrame, key: str, x: Column) -> DataFrame:
-    return df.select(key, F.posexplode(x).alias("i", "v")).select(key, "i", F.round("v", 6).alias("v"))
+def _flat(df: DataFrame, key: str, x: Column, digits: int = 4) -> DataFrame:
+    return df.select(key, F.posexplode(x).alias("i", "v")).select(key, "i", (F.round("v", digits) + F.lit(0.0)).alias("v"))
 
 
 def _d_flat(key: str, source: str, x: str) -> str:
-    return f"SELECT {key}, CAST(i AS INT) AS i, round(y[i + 1], 6) AS v FROM (SELECT {key}, y, unnest(range(0, len(y))) AS i FROM (SELECT {key}, {x} AS y FROM ({source}) s) a) b"
+    return f"SELECT {key}, CAST(i AS INT) AS i, round(y[i + 1], 4) + 0.0 AS v FROM (SELECT {key}, y, unnest(range(0, len(y))) AS i FROM (SELECT {key}, {x} AS y FROM ({source}) s) a) b"
 
 
 @_query("ref_x02_zscore", _d_flat("vec_id", _V, _d_z("x")))

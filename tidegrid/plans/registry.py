@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.plans import kernels, odds_queries, relational
+from tidegrid.plans import kernels, learning, odds_queries, relational
 
-_MODULES = [odds_queries, relational, kernels]
+_MODULES = [odds_queries, relational, kernels, learning]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
