@@ -52,9 +52,10 @@ def trajectories(scripts: DataFrame) -> DataFrame:
     The look-up stays within the row of the script, so nothing is shuffled.
     """
     game = F.transform(entries(F.col("text"), "game"), lambda e: F.split(e, r"\|"))
-    names = F.map_from_entries(F.filter(F.transform(game, lambda f: F.struct(F.get(f, F.lit(1)).alias("id"), F.get(f, F.lit(2)).alias("name"))), lambda s: s["id"].isNotNull() & s["name"].isNotNull()))
-    rows = scripts.select(variable(F.col("text"), "ScheduleID").try_cast("bigint").alias("schedule_id"), names.alias("names"), F.explode(entries(F.col("text"), "gameDetail")).alias("d"))
-    rows = rows.withColumn("internal_id", F.get(F.split("d", r"\^"), F.lit(0))).select("schedule_id", "internal_id", F.try_element_at("names", "internal_id").alias("bookmaker_name"), F.posexplode(F.filter(F.split(F.get(F.split("d", r"\^"), F.lit(1)), ";"), lambda r: r != "")).alias("seq", "r"))
+    rows = scripts.select(variable(F.col("text"), "ScheduleID").try_cast("bigint").alias("schedule_id"), game.alias("game"), F.explode(entries(F.col("text"), "gameDetail")).alias("d"))
+    rows = rows.withColumn("internal_id", F.get(F.split("d", r"\^"), F.lit(0)))
+    name = F.get(F.get(F.filter("game", lambda e: F.get(e, F.lit(1)) == F.col("internal_id")), F.lit(0)), F.lit(2))
+    rows = rows.select("schedule_id", "internal_id", name.alias("bookmaker_name"), F.posexplode(F.filter(F.split(F.get(F.split("d", r"\^"), F.lit(1)), ";"), lambda r: r != "")).alias("seq", "r"))
     f = F.split("r", r"\|")
     return rows.select("schedule_id", "internal_id", "bookmaker_name", "seq", *[F.get(f, F.lit(i)).alias(c) for i, c in enumerate(("home", "draw", "away", "time", "return_home", "return_draw", "return_away", "year"))])
 
