@@ -173,10 +173,15 @@ def cost_table(k: int, variant: str = "search") -> list[float]:
     return [cost(r, c) for r in range(k) for c in range(k)]
 
 
-def mindist(a: Column, b: Column, word: int, k: int, variant: str = "search") -> Column:
-    """Distance of two words; infinite where one is NULL or empty."""
-    table = F.array(*[F.lit(float(x)) for x in cost_table(k, variant)])
-    m = F.least(F.length(a), F.length(b), F.lit(word))
+def mindist(a: Column, b: Column, word: int | Column, k: int | Column, variant: str = "search") -> Column:
+    """Distance of two words; infinite where one is NULL or empty. ``word`` and ``k`` may differ by row; then k is 3 to 8."""
+    word = word if isinstance(word, Column) else F.lit(word)
+    if isinstance(k, Column):
+        sizes = sorted(DISTANCE_BREAKPOINTS)
+        table = F.get(F.array(*[F.array(*[F.lit(float(x)) for x in cost_table(n, variant)]) for n in sizes]), k - sizes[0])
+    else:
+        table = F.array(*[F.lit(float(x)) for x in cost_table(k, variant)])
+    m = F.least(F.length(a), F.length(b), word)
 
     def letter(s: Column, i: Column) -> Column:
         return F.ascii(F.substring(s, i, F.lit(1))) - 97

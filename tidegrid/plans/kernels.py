@@ -163,18 +163,24 @@ def _priced(spark: SparkSession, sf: str) -> DataFrame:
     return s.join(last, ["match_id", "bookmaker"]).select("id", "bookmaker", "match_id", "ci", "cd", "p.h", "p.d", "p.a")
 
 
+def _word_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """Word lengths and alphabet of each bookmaker, as all its stored words have them; the cost tables go from 3 to 8 letters."""
+    ci, cd = F.col("sax_interleaved"), F.col("sax_delta")
+    top = F.ascii(F.array_max(F.split(F.concat_ws("", ci, cd), ""))) - 96
+    return table(spark, sf, "sax_encoding").groupBy("bookmaker").agg(F.max(F.length(ci)).alias("wi"), F.max(F.length(cd)).alias("wd"), F.greatest(F.least(F.max(top), F.lit(8)), F.lit(3)).alias("k"))
+
+
 def _search(spark: SparkSession, sf: str, pct: float = 5.0, far: float = 0.5, top: int = 10) -> DataFrame:
     """Every row whose id is divisible by 50 against all rows of its bookmaker: price band, distance, nearest ``top``.
 
     The band is an equi-join on log-price buckets; the top is taken by rank, which Spark limits before the shuffle.
     """
     rows = _priced(spark, sf)
-    targets = rows.where("id % 50 = 0").select("bookmaker", *[F.col(c).alias(f"t_{c}") for c in ("id", "match_id", "ci", "cd", "h", "d", "a")])
+    targets = rows.where("id % 50 = 0").join(_word_settings(spark, sf), "bookmaker").select("bookmaker", "wi", "wd", "k", *[F.col(c).alias(f"t_{c}") for c in ("id", "match_id", "ci", "cd", "h", "d", "a")])
     pairs = asof.band_join(targets, rows, ["bookmaker"], "t_h", "h", pct).where("id <> t_id")
     pairs = pairs.where(odds.within(F.col("d"), F.col("t_d"), pct) & odds.within(F.col("a"), F.col("t_a"), pct))
-    # words of one bookmaker have one length, so 24 stands for all
-    di = series.mindist(F.col("t_ci"), F.col("ci"), 24, ALPHABET)
-    dd = F.when((F.coalesce(F.length("cd"), F.lit(0)) > 0) & (F.coalesce(F.length("t_cd"), F.lit(0)) > 0), series.mindist(F.col("t_cd"), F.col("cd"), 8, ALPHABET))
+    di = series.mindist(F.col("t_ci"), F.col("ci"), F.col("wi"), F.col("k"))
+    dd = F.when((F.coalesce(F.length("cd"), F.lit(0)) > 0) & (F.coalesce(F.length("t_cd"), F.lit(0)) > 0), series.mindist(F.col("t_cd"), F.col("cd"), F.col("wd"), F.col("k")))
     judged = pairs.withColumn("dist", F.coalesce((di + dd) / 2, di)).where(F.col("dist") <= far)
     from pyspark.sql import Window
 
