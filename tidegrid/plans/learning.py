@@ -14,7 +14,7 @@ from tidegrid.sources import match_files
 from tidegrid.streaming.incremental import daily_counts
 from tidegrid.session import table
 
-#: Bound of rows a model is fitted on; all rows are scored.
+#: Bound of labelled rows the classifier (L04) is fitted on; all held-out rows are scored. Scaler and k-means take all rows.
 FIT_ROWS = 200_000
 
 
@@ -31,7 +31,7 @@ def kmeans_vectors(spark: SparkSession, sf: str) -> DataFrame:
     ordinals = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (F.ascii(F.substring("word", i, F.lit(1))) - 97).cast("double"))
     x = words.select("vec_id", "label", array_to_vector(ordinals).alias("features"))
     k = max(4, min(10, x.count() // 50))
-    fits = [KMeans(k=k, seed=s, maxIter=20).fit(_fit_part(x, "vec_id")) for s in (42, 43, 44)]
+    fits = [KMeans(k=k, seed=s, maxIter=20).fit(x) for s in (42, 43, 44)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return best.transform(x).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
 
@@ -41,7 +41,7 @@ def kmeans_prices(spark: SparkSession, sf: str) -> DataFrame:
     columns = ["home_mean", "draw_mean", "away_mean", "running_odds_count"]
     x = table(spark, sf, "sax_encoding").select("id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
     stages = [VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), KMeans(k=6, seed=42)]
-    return Pipeline(stages=stages).fit(_fit_part(x, "id")).transform(x).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+    return Pipeline(stages=stages).fit(x).transform(x).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cover_classifier(spark: SparkSession, sf: str) -> DataFrame:
