@@ -5,11 +5,10 @@ Three findings per reading (a source is a match and bookmaker; readings of one s
 * ``impossible``: a numeric price at or under ``low`` or over ``high``;
 * ``stuck``: one of ``run`` or more neighbouring readings with the same prices (zero variance), all of the run;
 * ``spike``: a price whose distance to the level before and after it lies outside the source's fence and from which the
-  series comes back within ``width`` readings. A lasting change of level never comes back and is none, nor is a price of
-  which more than ``often`` of the readings do so.
+  series comes back within ``width`` readings. A lasting change of level never comes back and is none.
 
 The fence comes from quantile sketches of a source's steps (absolute log changes between neighbouring prices that are no
-candidates), bucketed by hour context. A sketch is a fixed number of counters over logarithmic buckets, so sketches of the
+candidates, or all of a price of which more than ``often`` of a list's readings are), bucketed by hour context. A sketch is a fixed number of counters over logarithmic buckets, so sketches of the
 same source made in different partitions merge by addition, exactly, and map-side. Fence: Q3 + ``spread`` * (Q3 - Q1) of
 the hour context where it holds ``enough`` steps, else of the whole source, widened by 1 + ``small`` / n for n steps seen, and never
 under ``least``.
@@ -113,13 +112,13 @@ def judge_lists(prices: np.ndarray, group: np.ndarray, rules: SpikeRules) -> tup
             rows = np.flatnonzero((prices[:, k] > rules.low) & (prices[:, k] <= rules.high))
         x = np.log(prices[rows, k])
         far = spike_candidates(x, group[rows], rules)
-        # where most values of a price leave and come back, that is its normal behaviour
+        # where most values of a price leave and come back, that is its normal behaviour: its steps widen the fence, which decides
         own = group[rows]
         usual = np.bincount(own, far > 0, minlength=1) > rules.often * np.bincount(own, minlength=1) if len(own) else np.zeros(1, bool)
-        far = np.where(usual[own], 0.0, far) if len(own) else far
         away[rows] = np.maximum(away[rows], far)
-        calm = rows[far == 0]
-        y = x[far == 0]
+        normal = (far == 0) | usual[own]
+        calm = rows[normal]
+        y = x[normal]
         next_to = group[calm[1:]] == group[calm[:-1]]
         steps.append((calm[1:][next_to], np.abs(np.diff(y))[next_to]))
     return impossible, stuck, away, steps
