@@ -8,8 +8,8 @@ commands, the shape ``@place`` of a template place, and how much its words repea
 The classifier is a positive-unlabelled naive Bayes. Trusted records (passages that are nothing but a template place, or hold
 an unmistakable error, script or filler phrase) are positive, all others unlabelled; expectation-maximization lets each
 passage's posterior weigh the word counts of both classes until words that only ever keep company with trusted residue have
-become evidence themselves. It is fitted on a bounded sample (``fit_docs`` documents by hash, plus ``fit_trusted`` documents
-with a trusted phrase); every document is then scored, whole, in one pass. A record is excluded if any passage's posterior of
+become evidence themselves. It is fitted on a bounded sample (``fit_docs`` documents by hash, plus the documents with
+a trusted phrase among 33 * ``fit_trusted``); every document is then scored, whole, in one pass. A record is excluded if any passage's posterior of
 residue is over one half.
 
 Defined results: NULL, empty and blank texts have no passage and are no case; a passage of any length is scored whole;
@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegrid.functions.series import let
+
 _LISTING = re.compile(r"\\begin\{(verbatim\*?|lstlisting|comment|Verbatim|minted)\}.*?(?:\\end\{\1\}|\Z)", re.S)
 _VERB = re.compile(r"\\verb\*?([^\w\s*]).*?\1")
 _COMMENT = re.compile(r"(?<!\\)%[^\n]*")
@@ -60,6 +62,14 @@ TRUSTED = (
 )
 # Plain strings some of which most documents with a trusted record hold; they only widen the fit sample.
 HINTS = ("orem ipsum", "asdf", "dummy text", "blindtext", "\\lipsum", "JavaScript", "goes here", "INSERT ", "TO BE ADDED", "[[", "<<", "@@", "__", "${", "#{", "???", "XXX ", "LaTeX Error", "Undefined control", "No pages of", "Author One", "First Author", "Name Surname", "Your Title", "itle Here", "404 Not", "Error 404", "503 Service", "502 Bad")
+# Plain lower-case strings of which every TRUSTED phrase holds one.
+TRUSTED_HINTS = (
+    "lorem ipsum", "asdf", "dummy text", "\\blindtext", "\\lipsum", "\\blinddocument", *(f"{w}{gap}40{d}" for w in ("error", "http", "fehler", "erreur") for gap in ("", " ") for d in (3, 4)),
+    *(f"40{d} {w}" for d in (3, 4) for w in ("not found", "forbidden")), *(f"50{d} {w}" for d in (2, 3, 4) for w in ("service", "bad", "gateway")), "javascript", "! latex error", "! undefined control sequence", "no pages of output",
+    *(f"your {w} here" for w in ("title", "abstract", "text", "name", "keywords")), "template", "title of the paper", "title of the article", "title of your paper", "title of your article", "insert title", "untitled",
+    "titel der arbeit", "título del artículo", "titre de l'article", "论文标题", "文章标题", "paper title", "first author", "author one", "name surname", "vorname", "prénom", "nombre apellido", "nombre y apellido", "作者姓名",
+    "text of the section", "text of the introduction", "body of the section goes",
+)
 _DOLLAR_PLACE = re.compile("|".join(DOLLAR_PLACES))
 _PLACE = re.compile("|".join(PLACES))
 _PLACE_HINT = re.compile(r"\{\{|[<\[@#&|]|__|\?\?|XXX|VAR")
@@ -171,6 +181,7 @@ class ResidueModel:
 def fit(examples: list[tuple[frozenset[str] | set[str], bool, float]], rounds: int = 8, smooth: float = 0.5) -> ResidueModel:
     """Expectation-maximization over (features, trusted, weight) with the trusted ones kept positive."""
     p = [1.0 if t else 0.0 for _, t, _ in examples]
+    held = Counter(w for seen, _, _ in examples for w in seen)  # passages, whatever their weight
     model = ResidueModel({}, 0.0)
     for _ in range(rounds):
         pos, neg, np_, nn = Counter(), Counter(), 0.0, 0.0
@@ -186,7 +197,7 @@ def fit(examples: list[tuple[frozenset[str] | set[str], bool, float]], rounds: i
         vocabulary = pos.keys() | neg.keys()
         weight = {}
         for w in vocabulary:
-            if pos[w] + neg[w] >= 1.5:
+            if held[w] >= 2:
                 weight[w] = math.log((pos[w] + smooth * 0.02) / (np_ + smooth)) - math.log((neg[w] + smooth) / (nn + smooth))
         model = ResidueModel(weight, math.log((np_ + 1) / (nn + 1)))
         p = [1.0 if t else 1 / (1 + math.exp(-max(-30.0, min(30.0, model.score(seen))))) for seen, t, _ in examples]
@@ -212,15 +223,16 @@ def _examples(df: DataFrame) -> list[tuple[set[str], bool, bool]]:
 
 
 def fit_on(df: DataFrame, id_column: str, text: str, fit_docs: int = 6000, fit_trusted: int = 3000) -> ResidueModel:
-    """Fit on a bounded sample: about ``fit_docs`` documents by a hash of their id, and about ``fit_trusted`` of those that
-    hold a trusted phrase or place anywhere. Both bounds are documented parameters; scoring covers all documents."""
+    """Fit on a bounded sample: about ``fit_docs`` documents by a hash of their id, and those that hold a trusted
+    phrase or place anywhere among about 33 * ``fit_trusted``: ``fit_trusted`` at a share of three percent. Both bounds are documented parameters; scoring covers all documents."""
     docs = df.select(df[id_column].alias("id"), df[text].alias("text")).where("text is not null and id is not null")
     h = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30))
     total = max(docs.count(), 1)
     share = min(1.0, fit_docs / total)
-    # documents with a hint are a few percent; the hash range that holds about ``fit_trusted`` of them at three percent
+    # the hash range that holds ``fit_trusted`` documents with a hint if three percent have one; at another share as many more or less
     wide = min(1.0, 33 * fit_trusted / total)
     hint = reduce(lambda a, b: a | b, [F.col("text").contains(x) for x in HINTS])
+    hint |= let(F.lower("text"), lambda t: reduce(lambda a, b: a | b, [t.contains(x) for x in TRUSTED_HINTS]))
     sampled = h < F.lit(int(share * (1 << 30)))
     pick = docs.where(sampled | ((h < F.lit(int(wide * (1 << 30)))) & hint)).select("text", sampled.alias("sampled"))
     rows = _examples(pick)
