@@ -128,9 +128,19 @@ def fused_cell(cell: Column) -> list[Column]:
     return [F.nullif(F.regexp_extract(cell, pattern, 1), F.lit("")).alias("handicap"), F.regexp_extract(cell, pattern, 2).try_cast("double").alias("home"), F.regexp_extract(cell, pattern, 3).try_cast("double").alias("away")]
 
 
-def handicap_history(pages: DataFrame, column: int) -> DataFrame:
-    """Readings of the bookmaker in ``column`` of the history table; rows in play (a score with a dash) are left out."""
-    rows = html_table(pages, "oddsDetail").where(F.size("cells") > column + 2)
+def handicap_history(pages: DataFrame, column: int | str) -> DataFrame:
+    """Readings of one bookmaker of the history table; rows in play (a score with a dash) are left out.
+
+    ``column`` is the number of its column, or the prefix of its name (such as ``36*``), by which the column is found in each
+    page's header row; a page without it gives no row.
+    """
+    rows = html_table(pages, "oddsDetail")
+    if isinstance(column, str):
+        at = F.array_position(F.transform("cells", lambda c: c.startswith(column)), F.lit(True)).cast("int") - 1
+        rows = rows.join(rows.where("row_no = 0").select("file", at.alias("at")).where("at >= 0"), "file")
+    else:
+        rows = rows.withColumn("at", F.lit(column))
     n = F.size("cells")
-    rows = rows.where(~F.coalesce(F.contains(F.get("cells", n - 2), F.lit("-")), F.lit(False))).withColumn("cell", F.get("cells", F.lit(column))).where("cell rlike '\\\\d+\\\\.\\\\d{2}\\\\d+\\\\.\\\\d{2}$'")
+    rows = rows.where(n > F.col("at") + 2)
+    rows = rows.where(~F.coalesce(F.contains(F.get("cells", n - 2), F.lit("-")), F.lit(False))).withColumn("cell", F.get("cells", F.col("at"))).where("cell rlike '\\\\d+\\\\.\\\\d{2}\\\\d+\\\\.\\\\d{2}$'")
     return rows.select("file", "row_no", *fused_cell(F.col("cell")), F.get("cells", n - 1).alias("time"))
