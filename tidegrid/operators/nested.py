@@ -163,8 +163,8 @@ class JsonIndex:
         use = known & (kid >= 0) & (owner >= 0)
         self.m_owner, self.m_key = owner[use], kid[use]
         value, after = p[use] + 1, self.s[np.minimum(colon[use] + 1, len(self.s) - 1)] if len(self.s) else p[use]
-        for _ in range(64):
-            space = _SPACE[self.buf[value]]
+        while True:
+            space = _SPACE[self.buf[value]] & (value < after)
             if not space.any():
                 break
             value = value + space
