@@ -85,42 +85,33 @@ def sample_rows(n, seed=1):
     return rows
 
 
-@pytest.mark.parametrize("small", [24, 2])
-def test_clusters_like_brute_force(spark, small, monkeypatch):
-    rows = sample_rows(250)
-    made = clusters.similar_pairs
-    # both ways of handling a bucket, and blocks of a few nodes
-    monkeypatch.setattr(clusters, "similar_pairs", lambda nodes, most, near: made(nodes, most, near, small=small, large=24 if small > 2 else 40))
+def cluster_frame(spark, rows):
+    df = spark.createDataFrame(rows, "id long, b string, p string, q string, m double")
+    return df.withColumn("m", F.col("m").cast("decimal(6,3)")).withColumn("node", F.lit(1))
+
+
+@pytest.mark.parametrize("seed", [1, 5])
+def test_clusters_like_brute_force(spark, seed):
+    rows = sample_rows(250, seed)
     data = [(i, b, w[:12], w[12:], m / 1000) for i, b, w, m in rows] + [(900, None, "a", "b", 1.0), (901, "x", None, "b", 1.0), (902, "x", "a", "b", None)]
-    df = spark.createDataFrame(data, "id long, b string, p string, q string, m double").withColumn("m", F.col("m").cast("decimal(6,3)")).withColumn("node", F.lit(1))
+    df = cluster_frame(spark, data)
     got = {r["id"]: r["cluster"] for r in clusters.clusters(df, "id", "b", ["p", "q"], "m").collect()}
     assert got == brute_clusters(rows)
     assert clusters.clusters(df.limit(0), "id", "b", ["p", "q"], "m").count() == 0
 
 
-def test_spanning_pairs_link_what_is_linked():
-    rows = sample_rows(120, 5)
-    codes = np.array([[ord(c) for c in r[2]] for r in rows])
-    mean = np.array([r[3] for r in rows])
-    pairs = clusters.spanning_pairs(codes, mean // 126, mean, mean, 4, 125)
-    up = list(range(len(rows)))
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for i, j, _ in pairs:
-        assert (codes[i] != codes[j]).sum() <= 4 and abs(mean[i] - mean[j]) <= 125
-        up[find(i)] = find(j)
-    want = brute_clusters([(k + 1, "x", r[2], r[3]) for k, r in enumerate(rows)])
-    groups = {}
-    for k in range(len(rows)):
-        groups.setdefault(find(k), set()).add(k)
-    expect = {}
-    for k in range(len(rows)):
-        expect.setdefault(want[k + 1], set()).add(k)
-    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expect.values()))
+def test_a_long_chain_is_one_cluster(spark):
+    # row i has one letter and i units of mean more than row i - 1: each row's best neighbour is the one before it
+    chain = [(i, "x", "b" * min(i, 60) + "a" * (60 - min(i, 60)), "b" * max(i - 60, 0) + "a" * (65 - max(i - 60, 0)), (i * (i + 1) // 2 % 100_000) / 1000) for i in range(125)]
+    got = [tuple(r) for r in clusters.clusters(cluster_frame(spark, chain), "id", "b", ["p", "q"], "m").select("id", "cluster").collect()]
+    assert {c for _, c in got} == {0} and len(got) == 125
+
+
+def test_codes_of_any_length_and_alphabet(spark):
+    long = "ab" * 30_000
+    data = [(1, "x", "", "", 1.0), (2, "x", "", "", 1.1), (3, "x", long, "é球", 1.0), (4, "x", long, "e球", 1.0), (5, "x", long[:-6] + "zzzzzz", "é球", 1.0), (6, "y", long, "é球", 1.0), (7, "x", "abcd", "", 1.0), (8, "x", "wxyz", "", 1.0)]
+    got = {r["id"]: r["cluster"] for r in clusters.clusters(cluster_frame(spark, data), "id", "b", ["p", "q"], "m").collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7, 8: 7}
 
 
 def test_description(spark):

@@ -2,28 +2,31 @@
 
 Two records of one block are similar if their codes have the same length and differ in at most ``most`` places and their
 means differ by at most ``near``. Rows that agree in block, code and cell of the mean are one node first (all of a cell are
-mutually similar), so copies cost nothing. Similar nodes are found by equal code segments: of ``most`` + 1 segments one must
-be equal, so nodes meet in buckets of (block, length, segment, cell). Nodes of a small bucket are compared by a join. Of a
-bucket with more than ``small`` nodes only a spanning forest of similar pairs comes out, never its pairs: nodes that agree in
-all but one place are linked by sorting, then what is not in the largest group is compared with all, in blocks. A bucket
-beyond ``large`` nodes is cut into blocks that meet pair by pair in tasks of their own, so no task holds a whole hot bucket
-and no link between groups is lost.
+mutually similar), so copies cost nothing. Of ``most`` + 1 segments of two similar codes one must be equal, so similar nodes
+meet in a bucket of (block, length, segment). All links, and never all pairs of a bucket, come from three linear steps:
+
+* stars: the heaviest node of each bucket and cell is compared with every other one there; who is similar is linked to it and
+  takes its name as a provisional label, so a popular record with its variants is one group, whatever its size;
+* groups: of each label in a bucket and cell the records with the highest and the lowest mean stand for the group; groups of
+  other labels in the same cell and the next one are compared by them, and are linked if these are similar;
+* what is left, two groups of which one has several records and whose representatives differ, is compared record by record.
 
 The clusters are the rows linked by similarity. They are built in rounds on this sparse graph: every cluster names its best
-neighbour, all mutual best pairs (and the clusters that name a member of one) merge in parallel, and edges are relabelled,
-until none is left. With average linkage a chain of similar rows would stop merging halfway; so the linkage between merged
-clusters is the best edge between them, under which the rounds end in exactly the linked groups (see README).
+neighbour, and all mutual best pairs, each with everything whose chain of names leads to it, merge in parallel; edges are
+relabelled, until none is left. Every cluster with an edge merges in each round, so their number at least halves and the
+rounds are logarithmic, however long a chain of records is; chains of names are shortened by pointer jumping. With average
+linkage a chain of similar rows would stop merging halfway; so the linkage between merged clusters is the best edge between
+them, under which the rounds end in exactly the linked groups (see README).
 
 Defined results: rows with a NULL in block, code or mean take no part; repeated rows are rows like any other; ties between
-equally good neighbours are broken by a hash of the pair; an empty table gives no row; other columns are not read.
+equally good neighbours are broken by a hash of the pair; codes of any length and alphabet; an empty table gives no row; other
+columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,189 +34,134 @@ from tidegrid.session import written
 
 #: Characters packed into one bigint for the comparison of codes.
 _PACK = 7
+#: Buckets with at least this share of all nodes are hot: at most (most + 1) / HOT of them, whose heaviest nodes are broadcast.
+HOT = 0.01
 
 
 def nodes_of(df: DataFrame, row_id: str, block: str, codes: list[str], mean: str, near: float, scale: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, node) and nodes (node, block, code, cell, low, high, n); a node's number is its smallest row id.
-
-    Means are compared in whole units of 1 / ``scale``, in which they are exact.
-    """
+    """Rows (id, block, code, mean, cell) and nodes (node, block, code, packed, cell, low, high, n); a node's number is its
+    smallest row id. Means are compared in whole units of 1 / ``scale``, in which they are exact."""
     unit = F.round(df[mean] * scale).cast("bigint")
     rows = df.select(df[row_id].alias("id"), df[block].alias("block"), F.concat(*[df[c] for c in codes]).alias("code"), unit.alias("mean"))
     rows = rows.where("id is not null and block is not null and code is not null and mean is not null")
     width = round(near * scale) + 1
     rows = rows.withColumn("cell", F.floor(F.col("mean") / width))
-    key = ["block", "code", "cell"]
-    nodes = rows.groupBy(*key).agg(F.min("id").alias("node"), F.min("mean").alias("low"), F.max("mean").alias("high"), F.count(F.lit(1)).alias("n"))
-    return rows, nodes
+    nodes = rows.groupBy("block", "code", "cell").agg(F.min("id").alias("node"), F.min("mean").alias("low"), F.max("mean").alias("high"), F.count(F.lit(1)).alias("n"))
+    return rows, nodes.withColumn("packed", _packed(F.col("code")))
 
 
-def _packed(code: Column, longest: int) -> Column:
-    """The code's bytes as bigints of seven."""
-    pieces = [F.conv(F.hex(F.substring(code, i + 1, _PACK)), 16, 10).cast("bigint") for i in range(0, longest, _PACK)]
-    return F.array(*[F.coalesce(p, F.lit(0).cast("bigint")) for p in pieces])
+def _packed(code: Column) -> Column:
+    """The code's bytes as bigints of seven; NULL for a code with other than ASCII characters."""
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(code) / _PACK) - 1, F.lit(0)).cast("int")), lambda i: F.coalesce(F.conv(F.hex(F.substring(code, i * _PACK + 1, F.lit(_PACK))), 16, 10).cast("bigint"), F.lit(0).cast("bigint")))
+    return F.when(F.octet_length(code) == F.length(code), pieces)
 
 
-def _differences(a: Column, b: Column, size: int) -> Column:
-    """Differing bytes of packed codes."""
+def _places(a: Column, b: Column) -> Column:
+    """Differing places of two nodes' codes of equal length: bytes of the packed forms, else characters."""
     low, high = F.lit(0x7F7F7F7F7F7F7F), F.lit(0x80808080808080)
-    total = F.lit(0)
-    for i in range(size):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        total = total + F.bit_count((x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseAND(high))
-    return total
-
-
-def similar_pairs(nodes: DataFrame, most: int, near: float, scale: int = 1000, small: int = 24, large: int = 4096) -> DataFrame:
-    """Pairs (a, b, away) of similar nodes, a < b, each once, that link whatever is linked; ``away`` grows with the
-    differences of code and mean. How wide the widest code is, is read from the nodes (one aggregate)."""
-    longest = nodes.agg(F.max(F.length("code"))).first()[0] or 1
-    size = -(-longest // _PACK)
-    parts, limit = most + 1, round(near * scale)
-    k, code = F.col("k"), F.col("code")
-    start, stop = F.floor(F.length(code) * k / parts).cast("int"), F.floor(F.length(code) * (k + 1) / parts).cast("int")
-    keyed = nodes.select("node", "block", "code", "cell", "low", "high", F.length("code").alias("len"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("k"))
-    keyed = keyed.withColumn("segment", F.substring(code, start + 1, stop - start))
-    key = ["block", "len", "k", "segment"]
-    # a bucket is all that meets under one key: the nodes of a cell and those of the next one
-    count = keyed.select(*key, F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("cell")).groupBy(*key, "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    count = written(count, "buckets")
-    own = keyed.withColumn("at", F.col("cell"))
-    both = own.unionByName(keyed.withColumn("at", F.col("cell") - 1))
-    met = both.join(count.withColumnRenamed("cell", "at"), [*key, "at"])
-    ascii_only = code.rlike(r"^[\x00-\x7f]*$")
-    light = met.where(F.col("n") <= small).withColumn("packed", F.when(ascii_only, _packed(code, longest)))
-    pairs = _meet(light, [*key, "at"], most, limit, size)
-    heavy = met.where(F.col("n") > small).withColumn("blocks", F.ceil(F.col("n") / large).cast("int"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    heavy = heavy.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    heavy = heavy.withColumn("first", F.least("mine", "other")).withColumn("second", F.greatest("mine", "other"))
-    forest = heavy.groupBy(*key, "at", "first", "second").applyInPandas(_forest(most, limit), "a bigint, b bigint, away bigint")
-    return pairs.unionByName(forest).groupBy("a", "b").agg(F.min("away").alias("away"))
-
-
-def _roots(parent: np.ndarray) -> np.ndarray:
-    while (up := parent[parent]).tolist() != parent.tolist():
-        parent = up
-    return parent
-
-
-def spanning_pairs(codes: np.ndarray, cell: np.ndarray, low: np.ndarray, high: np.ndarray, most: int, limit: int) -> list[tuple[int, int, int]]:
-    """Pairs (i, j, away) of similar items that link whatever is linked among them. ``codes``: a row of characters each."""
-    n, length = codes.shape
-    parent, out = np.arange(n), []
-
-    def gap(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        up = np.where(cell[i] < cell[j], low[j] - high[i], low[i] - high[j])
-        return np.where(cell[i] == cell[j], 0, np.where(np.abs(cell[i] - cell[j]) == 1, np.maximum(up, 0), limit + 1))
-
-    def link(i: np.ndarray, j: np.ndarray, places: np.ndarray) -> None:
-        nonlocal parent
-        apart = gap(i, j)
-        use = (places <= most) & (apart <= limit) & (parent[i] != parent[j])
-        i, j, away = i[use], j[use], (places[use] * 1_000_000 + apart[use]).astype(np.int64)
-        order = np.argsort(away, kind="stable")
-        up = parent.tolist()
-
-        def find(x: int) -> int:
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for x, y, w in zip(i[order].tolist(), j[order].tolist(), away[order].tolist(), strict=True):
-            a, b = find(x), find(y)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-                out.append((x, y, w))
-        parent = _roots(np.array(up))
-
-    mixer = np.random.default_rng(1).integers(1, 1 << 62, length, dtype=np.uint64) | np.uint64(1)
-    terms = codes.astype(np.uint64) * mixer
-    whole = terms.sum(axis=1, dtype=np.uint64)
-    for p in range(-1, length):
-        part = whole if p < 0 else whole - terms[:, p]
-        order = np.lexsort((cell, part))
-        i, j = order[:-1], order[1:]
-        near = part[i] == part[j]
-        i, j = i[near], j[near]
-        if len(i):
-            link(i, j, (codes[i] != codes[j]).sum(axis=1))
-    letters, ranks = np.unique(codes, return_inverse=True)
-    hot = np.zeros((n, length * len(letters)), np.float32)
-    hot[np.arange(n)[:, None], np.arange(length) * len(letters) + ranks.reshape(n, length)] = 1
-    rest = np.flatnonzero(parent != np.bincount(parent).argmax())
-    step = max(1, (4 << 20) // max(n, 1))
-    for at in range(0, len(rest), step):
-        i = rest[at : at + step]
-        places = length - np.rint(hot[i] @ hot.T).astype(np.int64)
-        x, y = np.nonzero((places <= most) & (parent[i][:, None] != parent[None, :]))
-        if len(x):
-            a, b, d = i[x], y, places[x, y]
-            pair = np.minimum(parent[a], parent[b]) * n + np.maximum(parent[a], parent[b])
-            ok = gap(a, b) <= limit
-            a, b, d, pair = a[ok], b[ok], d[ok], pair[ok]
-            order = np.lexsort((d, pair))
-            first = order[np.r_[True, np.diff(pair[order]) != 0]] if len(order) else order
-            link(a[first], b[first], d[first])
-    return out
-
-
-def _forest(most: int, limit: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(bucket: pd.DataFrame) -> pd.DataFrame:
-        length = int(bucket["len"].iloc[0])
-        codes = np.frombuffer("".join(bucket["code"]).encode("utf-32-le"), np.uint32).reshape(len(bucket), length) if length else np.zeros((len(bucket), 0), np.uint32)
-        cell, node = bucket["cell"].to_numpy(), bucket["node"].to_numpy()
-        found = spanning_pairs(codes, cell, bucket["low"].to_numpy(), bucket["high"].to_numpy(), most, limit)
-        at = bucket["at"].iloc[0]
-        # pairs within the next cell are found in its own bucket
-        kept = [(min(node[i], node[j]), max(node[i], node[j]), w) for i, j, w in found if cell[i] == at or cell[j] == at]
-        return pd.DataFrame(kept, columns=["a", "b", "away"], dtype="int64")
-
-    return run
-
-
-def _meet(light: DataFrame, key: list[str], most: int, limit: int, size: int) -> DataFrame:
-    columns = ["node", "code", "cell", "low", "high", "packed"]
-    left = light.where("cell = at").select(*key, *[F.col(c).alias(f"{c}_a") for c in columns])
-    right = light.select(*key, *[F.col(c).alias(f"{c}_b") for c in columns])
-    above = F.col("cell_b") > F.col("cell_a")
-    pairs = left.join(right, key).where(above | (F.col("node_a") < F.col("node_b")))
-    apart = F.greatest(F.lit(0), F.when(above, F.col("low_b") - F.col("high_a")).otherwise(F.lit(0)))
-    slow = F.size(F.filter(F.zip_with(F.split("code_a", ""), F.split("code_b", ""), lambda x, y: ~x.eqNullSafe(y)), lambda d: d))
-    places = F.when(F.col("packed_a").isNotNull() & F.col("packed_b").isNotNull(), _differences(F.col("packed_a"), F.col("packed_b"), size)).otherwise(slow)
-    pairs = pairs.where(apart <= limit).withColumn("places", places).where(F.col("places") <= most)
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), (F.col("places") * 1_000_000 + apart).cast("bigint").alias("away"))
-
-
-def linked(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
+
+    def lanes(x: Column, y: Column) -> Column:
+        d = x.bitwiseXOR(y)
+        return F.bit_count((d.bitwiseAND(low) + low).bitwiseOR(d).bitwiseAND(high))
+
+    fast = F.aggregate(F.zip_with(a["packed"], b["packed"], lanes), F.lit(0), lambda s, x: s + x)
+    slow = F.size(F.filter(F.zip_with(F.split(a["code"], ""), F.split(b["code"], ""), lambda x, y: ~x.eqNullSafe(y)), lambda d: d))
+    return F.when(a["packed"].isNotNull() & b["packed"].isNotNull(), fast).otherwise(slow)
+
+
+def _judged(pairs: DataFrame, most: int, limit: int) -> DataFrame:
+    """(a, b, away) of the pairs of nodes ``x`` and ``y`` that are similar; ``away`` grows with the differences of code and mean."""
+    x, y = F.col("x"), F.col("y")
+    alike = (x["block"] == y["block"]) & (F.length(x["code"]) == F.length(y["code"])) & (x["node"] != y["node"])
+    apart = F.greatest(F.lit(0), x["low"] - y["high"], y["low"] - x["high"])
+    near = pairs.where(alike).withColumn("apart", F.when(x["cell"] == y["cell"], F.lit(0)).otherwise(apart)).where(F.col("apart") <= limit)
+    near = near.withColumn("places", _places(x, y)).where(F.col("places") <= most)
+    return near.select(*[c for c in pairs.columns if c not in ("x", "y")], F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"), (F.col("places") * 1_000_000 + F.col("apart")).cast("bigint").alias("away"))
+
+
+_NODE = ("node", "block", "code", "packed", "cell", "low", "high")
+
+
+def _looked_up(pairs: DataFrame, nodes: DataFrame, sides: dict[str, str]) -> DataFrame:
+    """``pairs`` with the node that each column of ``sides`` names, as a struct."""
+    for column, name in sides.items():
+        pairs = pairs.join(nodes.select(F.col("node").alias(column), F.struct(*_NODE).alias(name)), column)
+    return pairs
+
+
+def _buckets(nodes: DataFrame, most: int, carry: list[str]) -> DataFrame:
+    """A row (key, cell, node, carry) per node and segment; keys are hashes, and what meets under one is compared whole."""
+    parts, code = most + 1, F.col("code")
+    start, stop = (F.floor(F.length(code) * (F.col("k") + d) / parts).cast("int") for d in (0, 1))
+    keyed = nodes.select("node", "block", "code", "cell", *carry, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("k"))
+    return keyed.select(F.xxhash64("block", F.length(code), "k", F.substring(code, start + 1, stop - start)).alias("key"), "cell", "node", *carry)
+
+
+def similar_pairs(nodes: DataFrame, most: int, near: float, scale: int = 1000) -> DataFrame:
+    """Pairs (a, b, away) of similar nodes, a < b, each once, that link whatever is linked. ``nodes`` is read several times:
+    write it first."""
+    limit = round(near * scale)
+    keyed = _buckets(nodes, most, ["n"])
+    heaviest = keyed.groupBy("key", "cell").agg(F.max_by("node", F.struct("n", -F.col("node"))).alias("pivot"), F.max("n").alias("weight"), F.count(F.lit(1)).alias("met")).where("met > 1")
+    heaviest = written(_looked_up(heaviest, nodes, {"pivot": "y"}), "heaviest")
+    hot = heaviest.where(F.col("met") >= F.lit(HOT * nodes.count()))
+    # a hot bucket's rows meet its one heaviest node where they are; the rest is shuffled by bucket
+    few = F.broadcast(hot)
+    met = keyed.join(few, ["key", "cell"]).unionByName(keyed.join(F.broadcast(hot.select("key", "cell")), ["key", "cell"], "left_anti").join(heaviest, ["key", "cell"]))
+    met = met.where("node <> pivot").groupBy("node", "pivot").agg(F.first("y").alias("y"), F.max("weight").alias("weight"))
+    stars = written(_judged(_looked_up(met, nodes, {"node": "x"}), most, limit), "stars")
+    label = stars.groupBy("node").agg(F.max_by("pivot", F.struct("weight", -F.col("pivot"))).alias("label"))
+    labelled = written(nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).select(*_NODE, "label"), "labelled")
+
+    in_group = _buckets(labelled, most, ["label", "low", "high"])
+    groups = in_group.groupBy("key", "cell", "label").agg(
+        F.count(F.lit(1)).alias("m"), F.max_by("node", F.struct("high", "node")).alias("top"), F.max("high").alias("high"), F.min_by("node", F.struct("low", "node")).alias("bottom"), F.min("low").alias("low")
+    )
+    groups = written(groups, "groups")
+    under = groups.select("key", F.col("cell").alias("at"), F.col("label").alias("label_x"), F.col("m").alias("m_x"), F.col("top").alias("node_x"), F.col("high").alias("high_x"))
+    over = groups.select("key", "cell", F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("at"), F.col("label").alias("label_y"), F.col("m").alias("m_y"), F.col("bottom").alias("node_y"), F.col("low").alias("low_y"))
+    same = F.col("cell") == F.col("at")
+    meet = under.join(over, ["key", "at"]).where((same & (F.col("label_x") < F.col("label_y"))) | (~same & (F.col("label_x") != F.col("label_y")) & (F.col("low_y") - F.col("high_x") <= limit)))
+    meet = written(meet.select("key", "at", "cell", "label_x", "label_y", "node_x", "node_y", (F.col("m_x") + F.col("m_y") > 2).alias("several")), "meet")
+    found = _judged(_looked_up(meet.select("node_x", "node_y").distinct(), nodes, {"node_x": "x", "node_y": "y"}), most, limit)
+    found = written(found.select("node_x", "node_y", "a", "b", "away"), "found")
+
+    # groups of several records whose representatives are not similar: record by record
+    open_ = meet.where("several").join(found.select("node_x", "node_y"), ["node_x", "node_y"], "left_anti").drop("node_x", "node_y", "several")
+    members = in_group.select("key", "cell", "label", "node")
+    wide = open_.join(members.select("key", F.col("cell").alias("at"), F.col("label").alias("label_x"), F.col("node").alias("node_x")), ["key", "at", "label_x"])
+    wide = wide.join(members.select("key", "cell", F.col("label").alias("label_y"), F.col("node").alias("node_y")), ["key", "cell", "label_y"])
+    rest = _judged(_looked_up(wide.select("node_x", "node_y").distinct(), nodes, {"node_x": "x", "node_y": "y"}), most, limit)
+    return reduce(DataFrame.unionByName, [e.select("a", "b", "away") for e in (stars, found, rest)]).groupBy("a", "b").agg(F.min("away").alias("away"))
+
+
+def linked(pairs: DataFrame) -> DataFrame:
     """(node, cluster) for each node with an edge; the cluster's number is its smallest node.
 
-    Rounds of reciprocal nearest neighbours: edges and labels are written after each, so a lost executor costs one round.
+    Edges and labels are written after each round, so a lost executor costs one round; the rounds end when no edge is left.
     """
     edges = written(pairs.select("a", "b", "away"), "edges")
     label = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("cluster", F.col("node")), "labels")
-    for _ in range(most_rounds):
-        if not edges.take(1):
-            smallest = label.groupBy("cluster").agg(F.min("node").alias("least"))
-            return label.join(smallest, "cluster").select("node", F.col("least").alias("cluster"))
+    while edges.take(1):
         order = F.struct("away", F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("h"), F.col("b").alias("to"))
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "away"))
-        best = both.groupBy("a").agg(F.min(order).alias("best")).select(F.col("a").alias("c"), F.col("best.to").alias("to"))
-        best = written(best, "best")
+        best = written(both.groupBy("a").agg(F.min(order).alias("best")).select(F.col("a").alias("c"), F.col("best.to").alias("to")), "best")
+        # of a mutual pair the smaller member is the root; every other cluster points at its best neighbour
         back = best.select(F.col("c").alias("to"), F.col("to").alias("back"))
-        step = best.join(back, "to")
-        # a member of a mutual pair joins its smaller member; who names a member of a pair joins that pair
-        third = back.select(F.col("to").alias("back"), F.col("back").alias("again"))
-        step = step.join(third, "back")
-        pair = F.least("to", "back")
-        moves = step.select("c", F.when(F.col("back") == F.col("c"), pair).when(F.col("again") == F.col("to"), pair).alias("new")).where("new is not null and new <> c")
-        moves = written(moves, "moves")
+        root = (F.col("back") == F.col("c")) & (F.col("c") < F.col("to"))
+        moves = written(best.join(back, "to").select("c", F.when(root, F.col("c")).otherwise(F.col("to")).alias("new")), "moves")
+        while True:
+            step = moves.select(F.col("c").alias("new"), F.col("new").alias("next"))
+            jumped = written(moves.join(step, "new").select("c", F.col("next").alias("new"), (F.col("next") != F.col("new")).alias("moved")), "moves")
+            moves = jumped.select("c", "new")
+            if not jumped.where("moved").take(1):
+                break
         ma, mb = moves.select(F.col("c").alias("a"), F.col("new").alias("na")), moves.select(F.col("c").alias("b"), F.col("new").alias("nb"))
-        moved = edges.join(ma, "a", "left").join(mb, "b", "left").select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"), "away").where("a <> b")
-        edges = written(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("away").alias("away")), "edges")
+        moved = edges.join(ma, "a").join(mb, "b").where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "away")
+        edges = written(moved.groupBy("a", "b").agg(F.min("away").alias("away")), "edges")
         label = written(label.join(moves.select(F.col("c").alias("cluster"), "new"), "cluster", "left").select("node", F.coalesce("new", "cluster").alias("cluster")), "labels")
-    raise RuntimeError(f"clusters still merge after {most_rounds} rounds")
+    smallest = label.groupBy("cluster").agg(F.min("node").alias("least"))
+    return label.join(smallest, "cluster").select("node", F.col("least").alias("cluster"))
 
 
 def clusters(df: DataFrame, row_id: str, block: str, codes: list[str], mean: str, most: int = 4, near: float = 0.125) -> DataFrame:
