@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tidegrid.llm import canonical, clusters, mixing, packing, queries, residue, tokens
+from tidegrid.session import written
 
 LINES = [(1, "平手", 0.0, "Level"), (2, "平手/半球", 0.25, "Level/Half"), (3, "半球", 0.5, "Half"), (4, "半球/一球", 0.75, "Half/One"), (5, "一球", 1.0, "One"), (9, "两球", 2.0, "Two"), (13, "三球", 3.0, "Three"), (17, "受半球", -0.5, "Receiving Half"), (18, "受半球/一球", -0.75, "Receiving Half/One")]
 
@@ -186,7 +187,7 @@ def test_passages_leave_quotes_and_listings_out():
     text = "\\title{A}\n\\author{B. C}\n\\begin{abstract}${ABSTRACT}\\end{abstract}\n\\section{Data}\n% lorem ipsum\nSaid ``Error 404 Not Found''.\n\\begin{verbatim}\n<p>[[abstract]]</p>\n\\end{verbatim}\n\\verb|<<TITLE>>|\n"
     found = dict(residue.passages(text))
     assert found["abstract"] == "${ABSTRACT}" and "404" not in found["body"] and "abstract" not in found["body"] and "TITLE" not in found["body"] and "lorem" not in found["body"]
-    assert residue.features("${ABSTRACT}", "abstract") == {"@place"} and residue.features("\\input{x}", "body") is None
+    assert residue.features("${ABSTRACT}", "abstract") == {"@place"} and residue.features("\\input{x}", "body") is None and residue.features("\\label{a}\n\\input{parts/x", "body") is None
 
 
 def test_residue_on_held_out_records(spark):
@@ -200,8 +201,12 @@ def test_residue_on_held_out_records(spark):
         rows.append((i, f"\\section{{Data}}\n{body}\n"))
     rows += [(1000, None), (1001, ""), (1002, "x " * 200_000), (1003, "\\section{")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kinds", F.lit("clash"))
-    model = residue.fit_on(df.where("doc_id < 200"), "doc_id", "text")
-    got = {r["id"] for r in residue.scored(df.where("doc_id >= 200"), "doc_id", "text", model).collect()}
+    model = residue.fit(written(residue.feature_table(df.where("doc_id < 200"), "doc_id", "text")))
+    table = residue.feature_table(df.where("doc_id >= 200"), "doc_id", "text")
+    got = {r["id"] for r in residue.scored(table, model).collect()}
     want = {i for i in range(200, 400) if i % 10 == 0}
     assert len(got & want) >= 0.9 * len(want) and got - want == set()
-    assert residue.scored(df.limit(0), "doc_id", "text", model).count() == 0
+    assert residue.scored(table.limit(0), model).count() == 0
+    assert residue.excluded(df.limit(0), "doc_id", "text").count() == 0
+    kinds = {r["id"]: r["kinds"] for r in residue.scored(table, model, evidence=True).collect()}
+    assert kinds.keys() == got and set(kinds.values()) == {"body"}

@@ -61,8 +61,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with residue in place of their own content."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return residue.scored(docs, "doc_id", "text", residue.fit_on(docs, "doc_id", "text")).withColumnRenamed("id", "doc_id")
+    return residue.excluded(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {"p2_found": p2_found, "p2_unlisted": p2_unlisted, "p3_found": p3_found, "p3_clusters": p3_clusters, "p8_packing": p8_packing, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}

@@ -8,9 +8,10 @@ commands, the shape ``@place`` of a template place, and how much its words repea
 The classifier is a positive-unlabelled naive Bayes. Trusted records (passages that are nothing but a template place, or hold
 an unmistakable error, script or filler phrase) are positive, all others unlabelled; expectation-maximization lets each
 passage's posterior weigh the word counts of both classes until words that only ever keep company with trusted residue have
-become evidence themselves. It is fitted on a bounded sample (``fit_docs`` documents by hash, plus the documents with
-a trusted phrase among 33 * ``fit_trusted``); every document is then scored, whole, in one pass. A record is excluded if any passage's posterior of
-residue is over one half.
+become evidence themselves. It is fitted on every passage of every document: features are hashed to ``BUCKETS`` numbers and
+written once, a round computes posteriors and sums the positive counts where the passages lie, and the driver holds nothing
+but one count and one weight per bucket, a fixed size at any scale. The same table is then scored. A record is excluded if
+any passage's posterior of residue is over one half.
 
 Defined results: NULL, empty and blank texts have no passage and are no case; a passage of any length is scored whole;
 copies are judged alike; an empty table gives no row; other columns are not read.
@@ -18,19 +19,18 @@ copies are judged alike; an empty table gives no row; other columns are not read
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.functions.series import let
+from tidegrid.session import written
 
 _LISTING = re.compile(r"\\begin\{(verbatim\*?|lstlisting|comment|Verbatim|minted)\}.*?(?:\\end\{\1\}|\Z)", re.S)
 _VERB = re.compile(r"\\verb\*?([^\w\s*]).*?\1")
@@ -44,7 +44,7 @@ _HEADING = re.compile(r"\\(?:sub){0,2}section\*?\{")
 _END = re.compile(r"\\begin\{thebibliography\}|\\end\{document\}|\\bibliography\{")
 _ITALIC = re.compile(r"\\textit\{([^{}]*|.*?)\}[ \t]*(?:\n|\Z)")
 _FLOAT = re.compile(r"\\begin\{(equation\*?|align\*?|figure\*?|table\*?|tabular\*?|eqnarray\*?|gather\*?)\}.*?(?:\\end\{\1\}|\Z)", re.S)
-_POINTER = re.compile(r"\\(?:cite\w*|ref|eqref|label|input|include|includegraphics|usepackage|documentclass|thanks|bibliographystyle)\s*(?:\[[^\]]*\])?\{[^{}]*\}|\\(?:begin|end)\{\w+\*?\}|\\maketitle|\\(?:and|newpage|noindent|par)\b")
+_POINTER = re.compile(r"\\(?:cite\w*|ref|eqref|label|input|include|includegraphics|usepackage|documentclass|thanks|bibliographystyle)\s*(?:\[[^\]]*\])?\{[^{}]*(?:\}|\Z)|\\(?:begin|end)\{\w+\*?\}|\\maketitle|\\(?:and|newpage|noindent|par)\b")
 _MATH = re.compile(r"\$\$.*?\$\$|\$[^$]*\$|\\\[.*?\\\]|\\\(.*?\\\)", re.S)
 
 # The shapes of template places, and phrases that make a passage a trusted residue record.
@@ -60,8 +60,6 @@ TRUSTED = (
     r"! latex error", r"! undefined control sequence", r"no pages of output", r"\byour (?:title|abstract|text|name|keywords) here", r"\btemplate\b.{0,60}\b(?:delete|replace|instructions)",
     r"\btitle of (?:the|your) (?:paper|article)\b", r"\b(?:insert title|untitled)\b", r"\btitel der arbeit\b", r"\btítulo del artículo\b", r"\btitre de l'article\b", r"(?:论文|文章)标题", r"\bpaper title\b", r"\bfirst author\b", r"\bauthor one\b", r"\bname surname\b", r"\bvorname\b", r"\bprénom\b", r"\bnombre (?:y )?apellido", r"作者姓名", r"\btext of the (?:section|introduction)\b", r"\bbody of the section goes\b",
 )
-# Plain strings some of which most documents with a trusted record hold; they only widen the fit sample.
-HINTS = ("orem ipsum", "asdf", "dummy text", "blindtext", "\\lipsum", "JavaScript", "goes here", "INSERT ", "TO BE ADDED", "[[", "<<", "@@", "__", "${", "#{", "???", "XXX ", "LaTeX Error", "Undefined control", "No pages of", "Author One", "First Author", "Name Surname", "Your Title", "itle Here", "404 Not", "Error 404", "503 Service", "502 Bad")
 # Plain lower-case strings of which every TRUSTED phrase holds one.
 TRUSTED_HINTS = (
     "lorem ipsum", "asdf", "dummy text", "\\blindtext", "\\lipsum", "\\blinddocument", *(f"{w}{gap}40{d}" for w in ("error", "http", "fehler", "erreur") for gap in ("", " ") for d in (3, 4)),
@@ -163,107 +161,148 @@ def features(passage: str, kind: str) -> set[str] | None:
 
 def is_trusted(passage: str, seen: set[str]) -> bool:
     """Nothing but template places, or short, with an unmistakable phrase and nothing that points into an article."""
-    return seen <= {"@place", "@rest"} or (len(passage) <= TRUSTED_LENGTH and not _PROSE.search(passage) and _TRUST.search(passage.lower()) is not None)
+    if seen <= {"@place", "@rest"}:
+        return True
+    if len(passage) > TRUSTED_LENGTH:
+        return False
+    low = passage.lower()
+    # the plain strings only spare the patterns: without one no pattern fits
+    return any(h in low for h in TRUSTED_HINTS) and not _PROSE.search(passage) and _TRUST.search(low) is not None
+
+
+#: Numbers that features are hashed to: bounds the model, what is broadcast (4 bytes each) and what the driver collects.
+BUCKETS = 1 << 22
+_KNOWN: dict[str, int] = {}
+
+
+def bucket_of(feature: str) -> int:
+    """The feature's number; a worker remembers what it has hashed, up to a million features."""
+    if (b := _KNOWN.get(feature)) is None:
+        if len(_KNOWN) >= 1 << 20:
+            _KNOWN.clear()
+        b = _KNOWN[feature] = zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
+    return b
+
+
+_TABLE = "kinds array<string>, trusted array<boolean>, features array<array<int>>"
+
+
+def feature_table(df: DataFrame, id_column: str, text: str) -> DataFrame:
+    """A row per document with a passage: id, and for each passage its kind, whether it is trusted, its hashed features."""
+    source = df.select(df[id_column].alias("id"), df[text].alias("text")).where("text is not null")
+    fields = T.StructType([T.StructField("id", source.schema["id"].dataType), *T._parse_datatype_string(_TABLE)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, kinds, trusted, rows, sizes, flat = [], [], [], [0], [0], []
+            for i, x in enumerate(b["text"]):
+                for kind, s in passages(x.as_py()):
+                    if seen := features(s, kind):
+                        kinds.append(kind)
+                        trusted.append(is_trusted(s, seen))
+                        flat.extend(map(bucket_of, seen))
+                        sizes.append(len(flat))
+                if len(kinds) > rows[-1]:
+                    keep.append(i)
+                    rows.append(len(kinds))
+            at = pa.array(rows, pa.int32())
+            lists = [pa.ListArray.from_arrays(at, v) for v in (pa.array(kinds, pa.string()), pa.array(trusted, pa.bool_()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32())))]
+            yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(keep, pa.int64())), *lists], names=["id", "kinds", "trusted", "features"])
+
+    return source.mapInArrow(run, fields)
 
 
 @dataclass(frozen=True)
 class ResidueModel:
-    """Log-odds of residue per feature, and the prior's."""
+    """Log-odds of residue per bucket, and the prior's."""
 
-    weight: dict[str, float]
+    weight: np.ndarray
     prior: float
 
+    def scores(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The score of each passage; ``starts``: where its features begin in ``flat``. No passage is empty."""
+        return self.prior + np.add.reduceat(self.weight[flat].astype(np.float64), starts) if len(starts) else np.zeros(0)
+
     def score(self, seen: set[str]) -> float:
-        get = self.weight.get
-        return self.prior + sum(get(w, 0.0) for w in seen)
-
-
-def fit(examples: list[tuple[frozenset[str] | set[str], bool, float]], rounds: int = 8, smooth: float = 0.5) -> ResidueModel:
-    """Expectation-maximization over (features, trusted, weight) with the trusted ones kept positive."""
-    p = [1.0 if t else 0.0 for _, t, _ in examples]
-    held = Counter(w for seen, _, _ in examples for w in seen)  # passages, whatever their weight
-    model = ResidueModel({}, 0.0)
-    for _ in range(rounds):
-        pos, neg, np_, nn = Counter(), Counter(), 0.0, 0.0
-        for (seen, _, weight), q in zip(examples, p, strict=True):
-            if q > 1e-6:
-                np_ += weight * q
-                for w in seen:
-                    pos[w] += weight * q
-            if q < 1 - 1e-6:
-                nn += weight * (1 - q)
-                for w in seen:
-                    neg[w] += weight * (1 - q)
-        vocabulary = pos.keys() | neg.keys()
-        weight = {}
-        for w in vocabulary:
-            if held[w] >= 2:
-                weight[w] = math.log((pos[w] + smooth * 0.02) / (np_ + smooth)) - math.log((neg[w] + smooth) / (nn + smooth))
-        model = ResidueModel(weight, math.log((np_ + 1) / (nn + 1)))
-        p = [1.0 if t else 1 / (1 + math.exp(-max(-30.0, min(30.0, model.score(seen))))) for seen, t, _ in examples]
-    return model
+        return float(self.scores(np.array([bucket_of(w) for w in seen]), np.array([0]))[0])
 
 
-_EXAMPLE = "trusted boolean, sampled boolean, seen array<string>"
+def _columns(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Passages per document, trusted, starts and features of a batch of the table."""
+    per_doc = np.asarray(b["kinds"].value_lengths())
+    lists = b["features"].flatten()
+    sizes = np.asarray(lists.value_lengths())
+    return per_doc, np.asarray(b["trusted"].flatten()), np.cumsum(sizes) - sizes, np.asarray(lists.flatten())
 
 
-def _examples(df: DataFrame) -> list[tuple[set[str], bool, bool]]:
+def _counted(table: DataFrame, model: ResidueModel | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Positive count per bucket; without a model also all passages per bucket; and positive mass and number of passages."""
+    spark = table.sparkSession
+    shared = spark.sparkContext.broadcast(model)  # BUCKETS weights
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        pos, everything, mass, n = np.zeros(BUCKETS), np.zeros(BUCKETS, np.int32) if m is None else None, 0.0, 0
         for b in batches:
-            out: list[tuple[bool, bool, list[str]]] = []
-            for text, sampled in zip(b["text"].to_pylist(), b["sampled"].to_pylist(), strict=True):
-                for kind, s in passages(text or ""):
-                    f = features(s, kind)
-                    if f and ((trusted := is_trusted(s, f)) or sampled):
-                        out.append((trusted, sampled, sorted(f)))
-            t, s, w = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.bool_()), pa.array(s, pa.bool_()), pa.array(w, pa.list_(pa.string()))], names=["trusted", "sampled", "seen"])
-
-    return [(set(r["seen"]), r["trusted"], r["sampled"]) for r in df.mapInArrow(run, _EXAMPLE).collect()]
-
-
-def fit_on(df: DataFrame, id_column: str, text: str, fit_docs: int = 6000, fit_trusted: int = 3000) -> ResidueModel:
-    """Fit on a bounded sample: about ``fit_docs`` documents by a hash of their id, and those that hold a trusted
-    phrase or place anywhere among about 33 * ``fit_trusted``: ``fit_trusted`` at a share of three percent. Both bounds are documented parameters; scoring covers all documents."""
-    docs = df.select(df[id_column].alias("id"), df[text].alias("text")).where("text is not null and id is not null")
-    h = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30))
-    total = max(docs.count(), 1)
-    share = min(1.0, fit_docs / total)
-    # the hash range that holds ``fit_trusted`` documents with a hint if three percent have one; at another share as many more or less
-    wide = min(1.0, 33 * fit_trusted / total)
-    hint = reduce(lambda a, b: a | b, [F.col("text").contains(x) for x in HINTS])
-    hint |= let(F.lower("text"), lambda t: reduce(lambda a, b: a | b, [t.contains(x) for x in TRUSTED_HINTS]))
-    sampled = h < F.lit(int(share * (1 << 30)))
-    pick = docs.where(sampled | ((h < F.lit(int(wide * (1 << 30)))) & hint)).select("text", sampled.alias("sampled"))
-    rows = _examples(pick)
-    # trusted records beyond the sample count as much as their sampled share would
-    extra, own = sum(t and not s for _, t, s in rows), sum(t and s for _, t, s in rows)
-    weight = max(0.05, min(1.0, own * (1 / share - 1) / extra * share)) if extra and own and share < 1 else 1.0
-    return fit([(f, t, 1.0 if s else weight) for f, t, s in rows])
-
-
-def scored(df: DataFrame, id_column: str, text: str, model: ResidueModel, evidence: bool = False) -> DataFrame:
+            _, trusted, starts, flat = _columns(b)
+            q = trusted.astype(np.float64)
+            if m is None:
+                everything += np.bincount(flat, minlength=BUCKETS).astype(np.int32)
+            else:
+                q = np.where(trusted, 1.0, 1 / (1 + np.exp(-np.clip(m.scores(flat, starts), -30, 30))))
+            q[q <= 1e-6] = 0
+            mass, n = mass + q.sum(), n + len(q)
+            per = np.repeat(q, np.diff(np.r_[starts, len(flat)]))
+            use = per > 0
+            np.add.at(pos, flat[use], per[use])
+        have = np.flatnonzero(pos if everything is None else everything)
+        count = np.zeros(len(have), np.int64) if everything is None else everything[have].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[have, -1]), pa.array(np.r_[pos[have], mass]), pa.array(np.r_[count, n])], names=["bucket", "pos", "n"])
+
+    got = table.select("kinds", "trusted", "features").mapInArrow(run, "bucket bigint, pos double, n bigint").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).toArrow()
+    shared.destroy()
+    bucket, p, n = (np.asarray(got[c]) for c in ("bucket", "pos", "n"))
+    head = bucket < 0
+    pos, total = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    pos[bucket[~head]], total[bucket[~head]] = p[~head], n[~head]
+    return pos, total if model is None else None, np.array([p[head].sum(), n[head].sum()])
+
+
+def fit(table: DataFrame, rounds: int = 8, smooth: float = 0.5) -> ResidueModel:
+    """Expectation-maximization over all passages of the table (written before), the trusted ones kept positive. A bucket
+    that one passage only holds is no evidence."""
+    pos, total, (mass, n) = _counted(table, None)
+    known, model = total >= 2, None
+    for k in range(rounds):
+        if k:
+            pos, _, (mass, n) = _counted(table, model)
+        rest = np.maximum(total - pos, 0)
+        weight = np.log((pos + smooth * 0.02) / (mass + smooth)) - np.log((rest + smooth) / (n - mass + smooth))
+        model = ResidueModel(np.where(known, weight, 0).astype(np.float32), float(np.log((mass + 1) / (n - mass + 1))))
+    return model
+
+
+def scored(table: DataFrame, model: ResidueModel, evidence: bool = False) -> DataFrame:
     """Documents to exclude: id (and with ``evidence`` the passages' kinds and the largest score). One pass, no shuffle."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by the fit sample's vocabulary
-    source = df.select(df[id_column].alias("id"), df[text].alias("text"))
-    fields = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("kinds", T.StringType()), T.StructField("score", T.DoubleType())])
+    shared = table.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights
+    fields = T.StructType([T.StructField("id", table.schema["id"].dataType), T.StructField("kinds", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
-            keep, kinds, scores = [], [], []
-            for i, x in enumerate(b["text"]):
-                found = []
-                for kind, s in passages(x.as_py() or ""):
-                    f = features(s, kind)
-                    if f and (score := m.score(f)) > 0:
-                        found.append((score, kind))
-                if found:
-                    keep.append(i)
-                    kinds.append(",".join(sorted({k for _, k in found})))
-                    scores.append(max(found)[0])
-            yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(keep, pa.int64())), pa.array(kinds, pa.string()), pa.array(scores, pa.float64())], names=["id", "kinds", "score"])
-
-    out = source.mapInArrow(run, fields)
+            per_doc, _, starts, flat = _columns(b)
+            score = shared.value.scores(flat, starts)
+            first = np.cumsum(per_doc) - per_doc
+            best = np.maximum.reduceat(score, first) if len(first) else np.zeros(0)
+            hit = np.flatnonzero(best > 0)
+            names = b["kinds"].take(pa.array(hit)).to_pylist()
+            kinds = [",".join(sorted({k for k, s in zip(ks, score[first[i] :], strict=False) if s > 0})) for i, ks in zip(hit, names, strict=True)]
+            yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(hit)), pa.array(kinds, pa.string()), pa.array(best[hit])], names=["id", "kinds", "score"])
+
+    out = table.mapInArrow(run, fields)
     return out if evidence else out.select("id")
+
+
+def excluded(df: DataFrame, id_column: str, text: str, evidence: bool = False) -> DataFrame:
+    """Fit on all of ``df`` and score all of it: the documents with residue in place of their own content."""
+    table = written(feature_table(df, id_column, text), "passages")
+    return scored(table, fit(table), evidence)
