@@ -29,6 +29,31 @@ def test_lines(value, line):
     assert canonical.line_matcher(LINES).entry(value) == line
 
 
+@pytest.mark.parametrize("value, line", [("半酋/一球", 4), ("受半球/一泅", 18), ("盘口:初盘:即:终:半球", 3), ("半球盘盘终即", 3), ("四球/一球", -1), ("大球/一球", -1), ("半酋", -1), ("半球/一球" + "酋" * 3, -1)])
+def test_slips_and_layers(value, line):
+    # an ideograph without meaning in a line may stand for another where the value is long enough; a numeral never may
+    assert canonical.line_matcher(LINES).entry(value) == line
+
+
+def test_candidates_and_shards(spark):
+    matcher = canonical.line_matcher(LINES)
+    typed = ["Levvel ball", "半酋/一球", "levelhalf", "四球", "half/onee", "1球"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*typed, "1球", None])], "id long, a string")
+    got = {(r["value"], r["line_id"], r["distance"]) for r in canonical.map_candidates(df, "id", ["a"], matcher).collect()}
+    want = {(v, e, d) for v in typed for e, d in matcher.candidates(v).items()}
+    assert {g for g in got if g[1] >= 0} == want and {g[0] for g in got if g[1] < 0} == {v for v in typed if not matcher.candidates(v)}
+    reference = spark.createDataFrame(LINES, "line_id int, line_name string, line_value double, line_name_en string")
+    found = canonical.shard_candidates(df.select(F.col("a").alias("value")), reference, canonical.line_matcher, shards=3, salts=2)
+    assert {tuple(r) for r in found.collect()} == want
+    assert {r["value"]: r["entry"] for r in canonical.nearest_entries(found).collect()} == {v: matcher.entry(v) for v in typed if matcher.candidates(v)}
+
+
+def test_a_long_list_is_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(canonical, "BROADCAST_BYTES", 10)
+    with pytest.raises(ValueError):
+        canonical.map_values(spark.createDataFrame([(1, "x")], "id long, a string"), "id", ["a"], canonical.line_matcher(LINES))
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -9,9 +9,9 @@ from tidegrid.llm import canonical, clusters, mixing, packing, residue, tokens
 from tidegrid.session import table, written
 
 
-def _mapped(spark: SparkSession, sf: str) -> DataFrame:
+def _mapped(spark: SparkSession, sf: str, operator=canonical.map_values) -> DataFrame:
     lines = [tuple(r) for r in table(spark, sf, "handicap_lines").select("line_id", "line_name", "line_value", "line_name_en").collect()]  # the reference list
-    return canonical.map_values(table(spark, sf, "total_handicap"), "id", ["handicap", "final_handicap"], canonical.line_matcher(lines), frozenset(x[1] for x in lines))
+    return operator(table(spark, sf, "total_handicap"), "id", ["handicap", "final_handicap"], canonical.line_matcher(lines), frozenset(x[1] for x in lines))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,6 +23,11 @@ def p2_unlisted(spark: SparkSession, sf: str) -> DataFrame:
     return _mapped(spark, sf).where("line_id = -1").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p2_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """All lines within the distance of each value, with the distance; -1 for a value without any."""
+    return _mapped(spark, sf, canonical.map_candidates)
+
+
 def _clusters(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.clusters(table(spark, sf, "sax_encoding"), "id", "bookmaker", ["sax_interleaved", "sax_delta"], "home_mean")
 
@@ -64,5 +69,5 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.excluded(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_unlisted": p2_unlisted, "p3_found": p3_found, "p3_clusters": p3_clusters, "p8_packing": p8_packing, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p2_unlisted": p2_unlisted, "p2_candidates": p2_candidates, "p3_found": p3_found, "p3_clusters": p3_clusters, "p8_packing": p8_packing, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 SQL: dict[str, str] = {}
