@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: A key is hot above this share of the rows; so there are at most 1 / HOT_SHARE hot keys, which bounds what is broadcast.
@@ -12,11 +13,13 @@ HOT_SHARE = 0.01
 
 
 def hot_keys(rows: DataFrame, keys: list[str], share: float = HOT_SHARE) -> list[tuple]:
-    """The keys that hold at least ``share`` of the rows: at most ``1 / share``. Counted over all rows, map-side first."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = rows.count()
-    hot = counts.where(F.col("n") >= F.lit(total * share))
-    return [tuple(r[k] for k in keys) for r in hot.select(*keys).collect()]
+    """The keys that hold at least ``share`` of the rows: at most ``1 / share``. One job, counted over all rows, map-side first."""
+    seen = Observation()
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).observe(seen, F.sum("n").alias("rows"))
+    # no more than 1 / share keys can hold such a share, so they are among the most frequent ones
+    top = counts.orderBy(F.desc("n")).limit(math.ceil(1 / share)).collect()
+    total = seen.get["rows"] or 0 if top else 0
+    return [tuple(r[k] for k in keys) for r in top if r["n"] >= total * share]
 
 
 def join_unique(rows: DataFrame, unique: DataFrame, keys: list[str], how: str = "left", share: float = HOT_SHARE) -> DataFrame:

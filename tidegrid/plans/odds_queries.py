@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidegrid.operators.grid import regular_grid
 from tidegrid.operators.nested import Stage, flatten
-from tidegrid.operators.orphans import classified
+from tidegrid.operators.orphans import classified, orphans
 from tidegrid.operators.spikes import flag_readings, numbers
 from tidegrid.operators.timestamps import OK, PLAIN_FULL, PLAIN_LOOSE, PLAIN_SHORT, created_microseconds, instants, parse_times
 from tidegrid.plans import odds_tables as tables
@@ -121,14 +123,9 @@ _REFERENCES = {"betting_odds": "schedule_id", "sax_encoding": "match_id", "total
 
 
 def _references(spark: SparkSession, sf: str) -> DataFrame:
-    matches = table(spark, sf, "league_matches").select("match_id", "created_at")
-    removals = table(spark, sf, "match_removals").select("match_id")
-    found = None
-    for src, ref in _REFERENCES.items():
-        rows = table(spark, sf, src).select(F.lit(src).alias("src"), "id", F.col(ref).alias("ref"), "created_at")
-        own = classified(rows, "ref", "created_at", matches, "match_id", "created_at", removals, "match_id")
-        found = own if found is None else found.unionByName(own)
-    return found
+    """The broken references of all three tables, which point at one and the same table and are looked up together."""
+    rows = reduce(DataFrame.unionByName, [table(spark, sf, src).select(F.lit(src).alias("src"), "id", F.col(ref).alias("ref"), "created_at") for src, ref in _REFERENCES.items()])
+    return classified(rows, ["ref"], "created_at", table(spark, sf, "league_matches"), ["match_id"], "created_at", table(spark, sf, "match_removals"), ["match_id"])
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,6 +138,17 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     return _references(spark, sf).groupBy("src", month.alias("month"), "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p6_composite(spark: SparkSession, sf: str) -> DataFrame:
+    """Encodings whose (match_id, bookmaker), partly NULL, is in no row of betting_odds, under each match semantics.
+
+    The bookmaker counts as not given (NULL) where it is the lottery, which no price table is asked about.
+    """
+    rows = table(spark, sf, "sax_encoding").select("id", "match_id", F.nullif("bookmaker", F.lit("Lottery Official")).alias("bookmaker"))
+    odds = table(spark, sf, "betting_odds")
+    found = [orphans(rows, ["match_id", "bookmaker"], odds, ["schedule_id", "bookmaker_name"], m).select(F.lit(m).alias("semantics"), "id", "null_mask") for m in ("simple", "partial", "full")]
+    return reduce(DataFrame.unionByName, found)
+
+
 _P6 = """
 WITH first_made AS (SELECT match_id, min(created_at) AS made FROM league_matches GROUP BY match_id),
 gone AS (SELECT DISTINCT match_id FROM match_removals),
@@ -193,6 +201,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_report": p6_report,
+    "p6_composite": p6_composite,
     "p7_found": p7_found,
     "p7_records": p7_records,
     "p7_entries": p7_entries,
@@ -203,4 +212,12 @@ QUERIES = {
 SQL = {
     "p6_found": _P6 + "SELECT src, id, reason FROM judged WHERE reason IS NOT NULL",
     "p6_report": _P6 + "SELECT src, strftime(created_at, '%Y-%m') AS month, reason, CAST(count(*) AS BIGINT) AS n FROM judged WHERE reason IS NOT NULL GROUP BY ALL",
+    "p6_composite": """
+WITH r AS (SELECT id, match_id AS m, CASE WHEN bookmaker <> 'Lottery Official' THEN bookmaker END AS b FROM sax_encoding),
+j AS (SELECT r.*, CASE WHEN m IS NULL THEN '1' ELSE '0' END || CASE WHEN b IS NULL THEN '1' ELSE '0' END AS null_mask,
+  m IN (SELECT schedule_id FROM betting_odds WHERE schedule_id IS NOT NULL) AS m_there, b IN (SELECT bookmaker_name FROM betting_odds WHERE bookmaker_name IS NOT NULL) AS b_there,
+  EXISTS (SELECT 1 FROM betting_odds o WHERE o.schedule_id = r.m AND o.bookmaker_name = r.b) AS both_there FROM r),
+s AS (SELECT unnest(['simple', 'partial', 'full']) AS semantics)
+SELECT semantics, id, null_mask FROM j, s WHERE CASE null_mask WHEN '00' THEN NOT both_there WHEN '11' THEN false
+  ELSE CASE semantics WHEN 'simple' THEN false WHEN 'full' THEN true ELSE CASE null_mask WHEN '01' THEN NOT m_there ELSE NOT b_there END END END""",
 }
