@@ -99,6 +99,22 @@ def test_spike_query_flags_against_the_source(spark):
     assert spikes.flag_readings(df.limit(0), "payload", READING_PRICES).count() == 0
 
 
+def test_rates_of_change_are_held_against_the_source(spark):
+    import json
+
+    from tidegrid.plans.odds_tables import READING_PRICES
+
+    def payload(minutes, home):
+        return json.dumps({"bookmakerName": "B", "runningOdds": [{"home": h, "draw": 3.1, "away": 4.0, "time": f"2024-05-01 {10 + m // 60}:{m % 60:02}"} for m, h in zip(minutes, home)]})
+
+    calm = [2.0 + 0.01 * (i % 2) for i in range(12)]
+    jump = [*calm[:6], *(2.3 + 0.01 * (i % 2) for i in range(6))]
+    rows = [(1, 10, payload(range(0, 360, 30), jump)), (2, None, payload(range(0, 360, 30), calm)), (3, None, "[]"), (4, 12, payload([0] * 12, jump))]
+    df = spark.createDataFrame(rows, "id long, schedule_id long, payload string").withColumn("created_at", F.to_timestamp(F.lit("2024-06-01")))
+    got = spikes.flag_readings(df, "payload", READING_PRICES, rates=True)
+    assert [(r["id"], r["seq"], r["spike"]) for r in got.where("fast").collect()] == [(1, 6, False)]
+
+
 def test_sketches_merge_exactly():
     steps = np.abs(np.random.default_rng(1).normal(0, 0.02, 1000))
     whole = np.bincount(spikes.bucket(steps), minlength=spikes.BUCKETS)

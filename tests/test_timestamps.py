@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from tidegrid.operators import timestamps as ts
+from tidegrid.operators import zones
 
 
 def one(text, year=None, created="2024-06-01 00:00:00", plain=None):
@@ -41,6 +42,36 @@ def test_forms(text, instant):
     assert one(text)[0] == instant
 
 
+def test_long_texts():
+    # blanks and digits of a fraction do not count, whatever their number
+    assert one("2024-08-17" + " " * 100 + "19:30")[0] == "2024-08-17 11:30:00"
+    assert one("2024-08-17" + " " * 10_000 + "19:30:00." + "1" * 5_000 + " Europe/Berlin")[0] == "2024-08-17 17:30:00"
+    assert one("September 29, 2024 12:05:33.123456789 AM [America/Argentina/ComodRivadavia]")[0] == "2024-09-29 03:05:33"
+    assert one("2024-08-17 19:30" + "x" * 100)[0] == "UNREADABLE"
+
+
+@pytest.mark.parametrize("text, instant", [("2024-07-01 12:00 America/New_York", "2024-07-01 16:00:00"), ("2012-01-01 12:00 Europe/Moscow", "2012-01-01 08:00:00"), ("2020-07-01 12:00 Europe/Istanbul", "2020-07-01 09:00:00"), ("1990-07-01 12:00 Europe/Berlin", "1990-07-01 10:00:00"), ("2060-07-01 12:00 Europe/Berlin", "2060-07-01 10:00:00"), ("2150-07-01 12:00 Europe/Berlin", "UNREADABLE"), ("2024-11-03 01:30 America/New_York", "AMBIGUOUS")])
+def test_regions_of_the_database(text, instant):
+    if not zones.current_version().startswith("tzdb-"):
+        pytest.skip("no zone database here")
+    assert one(text)[0] == instant
+
+
+def test_versions():
+    def of(text, version):
+        s, e, _ = ts.parse_times(pa.array([text]), version=version)
+        return ts.instants(s, e)[0].as_py()
+
+    assert of("1990-07-01 12:00 Europe/Berlin", "eu-1996") == "UNREADABLE" and of("2024-07-01 12:00 America/New_York", "eu-1996") == "UNREADABLE"
+    for region in ("Europe/Berlin", "Europe/London", "Asia/Tokyo", "Asia/Shanghai"):
+        for month in range(1, 13):
+            for year in (1996, 2019, 2037, 2080):
+                text = f"{year}-{month:02}-28 02:30 {region}"
+                assert of(text, "eu-1996") == of(text, zones.current_version())
+    with pytest.raises(ValueError):
+        of("2024-07-01 12:00", "tzdb-1970a")
+
+
 def test_yearless():
     assert one("05-31 10:00")[0] == "2024-05-31 02:00:00"
     assert one("06-01 08:00")[0] == "2024-06-01 00:00:00"

@@ -1,40 +1,49 @@
 """Implausible readings of prices, flagged against their own source's normal behaviour.
 
-Three findings per reading (a source is a match and bookmaker; readings of one stored list are neighbours):
+Four findings per reading (a source is a match and bookmaker; readings of one stored list are neighbours):
 
 * ``impossible``: a numeric price at or under ``low`` or over ``high``;
 * ``stuck``: one of ``run`` or more neighbouring readings with the same prices (zero variance), all of the run;
 * ``spike``: a price whose distance to the level before and after it lies outside the source's fence and from which the
-  series comes back within ``width`` readings. A lasting change of level never comes back and is none.
-
-The fence comes from quantile sketches of a source's steps (absolute log changes between neighbouring prices that are no
-candidates, or all of a price of which more than ``often`` of a list's readings are), bucketed by hour context. A sketch is a fixed number of counters over logarithmic buckets, so sketches of the
-same source made in different partitions merge by addition, exactly, and map-side. Fence: Q3 + ``spread`` * (Q3 - Q1) of
-the hour context where it holds ``enough`` steps, else of the whole source, widened by 1 + ``small`` / n for n steps seen, and never
-under ``least``.
+  series comes back within ``width`` readings. A lasting change of level never comes back and is none;
+* ``fast`` (with ``rates``): a price that changed by more than ``candidate`` and faster per hour than the source's fence of
+  rates of change allows, whether or not it comes back.
+
+The fences come from quantile sketches of a source's steps (absolute log changes between neighbouring prices that are no
+candidates, or all of a price of which more than ``often`` of a list's readings are) and of its rates (steps per hour, of
+neighbours with different instants), bucketed by hour context. A sketch is a fixed number of counters over logarithmic
+buckets, so sketches of the same source made in different partitions merge by addition, exactly, and map-side. An hour
+context is judged by its own counters plus the whole source's at the weight of ``enough`` steps: few steps lean on the
+source, many stand for themselves, at every size. Fence: Q3 + ``spread`` * (Q3 - Q1), widened by 1 + ``small`` / n for n
+steps of the source, and never under ``least``.
 
 Defined results: a price that is no number is no reading of that price, and breaks a run; a NULL time has its own hour
-context; sources with NULL in the key are sources like any other; equal neighbours, repeated rows and rows of one reading
-are judged as they are; empty input gives no row.
+context and no rate; sources with NULL in the key are sources like any other; equal neighbours, repeated rows and rows of one
+reading are judged as they are; empty input gives no row. A source with a third of all rows is joined apart (``skew``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidegrid.operators.nested import NestedTable, Stage, flatten
+from tidegrid.operators.skew import join_unique
 from tidegrid.operators.timestamps import OK, created_microseconds, parse_times
+from tidegrid.operators.zones import current_version
 from tidegrid.session import written
 
-#: Counters of a sketch: bucket k holds steps from FIRST * GROWTH ** k.
+#: Counters of a sketch: bucket k holds steps from FIRST * GROWTH ** k; of rates per hour, from RATE_FIRST * RATE_GROWTH ** k.
 BUCKETS, FIRST, GROWTH = 32, 0.0006, 1.28
+RATE_FIRST, RATE_GROWTH = 0.0001, 1.5
 
 
 @dataclass(frozen=True)
@@ -124,27 +133,50 @@ def judge_lists(prices: np.ndarray, group: np.ndarray, rules: SpikeRules) -> tup
     return impossible, stuck, away, steps
 
 
-def bucket(step: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(np.log(np.maximum(step, FIRST) / FIRST) / np.log(GROWTH)), 0, BUCKETS - 1).astype(np.int64)
+def bucket(step: np.ndarray, first: float = FIRST, growth: float = GROWTH) -> np.ndarray:
+    return np.clip(np.floor(np.log(np.maximum(step, first) / first) / np.log(growth)), 0, BUCKETS - 1).astype(np.int64)
+
+
+def rates_of_change(prices: np.ndarray, group: np.ndarray, epoch: np.ndarray, known: np.ndarray, rules: SpikeRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per change between neighbouring prices with different known instants: the row, its log step and the rate per hour."""
+    rows, steps, rates = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
+    for k in range(prices.shape[1]):
+        with np.errstate(invalid="ignore"):
+            at = np.flatnonzero((prices[:, k] > rules.low) & (prices[:, k] <= rules.high) & known)
+        a, b = at[:-1], at[1:]
+        hours = np.abs(epoch[b] - epoch[a]) / 3600
+        use = (group[a] == group[b]) & (hours > 0)
+        step = np.abs(np.log(prices[b[use], k]) - np.log(prices[a[use], k]))
+        rows, steps, rates = [*rows, b[use]], [*steps, step], [*rates, step / hours[use]]
+    return np.concatenate(rows), np.concatenate(steps), np.concatenate(rates)
 
 
 _TAGGED = (
     T.StructField("key", T.LongType()),
     T.StructField("bookmaker", T.StringType()),
     T.StructField("context", T.IntegerType()),
+    T.StructField("kind", T.IntegerType()),
     T.StructField("counts", T.ArrayType(T.IntegerType())),
     T.StructField("id", T.LongType()),
     T.StructField("seq", T.IntegerType()),
     T.StructField("impossible", T.BooleanType()),
     T.StructField("stuck", T.BooleanType()),
     T.StructField("away", T.DoubleType()),
+    T.StructField("rate", T.DoubleType()),
 )
 
 
-def _stage(rules: SpikeRules) -> Stage:
-    from pyspark.sql.pandas.types import to_arrow_schema
+def _sketches(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches that have a counter among the cells (sketch * BUCKETS + bucket), and their counters."""
+    cells, count = np.unique(cell, return_counts=True)
+    own, sketch = np.unique(cells // BUCKETS, return_inverse=True)
+    table = np.zeros((len(own), BUCKETS), np.int32)
+    table[sketch, cells % BUCKETS] = count
+    return own, table
 
-    schema = to_arrow_schema(T.StructType(list(_TAGGED)))
+
+def _stage(rules: SpikeRules, with_rates: bool) -> Stage:
+    schema, version = to_arrow_schema(T.StructType(list(_TAGGED))), current_version()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n = b.num_rows
@@ -153,27 +185,34 @@ def _stage(rules: SpikeRules) -> Stage:
         head = np.r_[True, (row[1:] != row[:-1]) | (entry[1:] != entry[:-1]) | (seq[1:] <= seq[:-1])] if n else np.zeros(0, bool)
         group = np.cumsum(head) - 1
         impossible, stuck, away, steps = judge_lists(prices, group, rules)
-        status, epoch, _ = parse_times(b["time"], b["year"], created_microseconds(b["created_at"]))
+        status, epoch, _ = parse_times(b["time"], b["year"], created_microseconds(b["created_at"]), version=version)
         context = np.where(status == OK, epoch // 3600 % 24 // rules.context_hours, -1).astype(np.int64)
         width = 24 // rules.context_hours + 1
-        cell = np.concatenate([(group[r] * width + context[r] + 1) * BUCKETS + bucket(s) for r, s in steps]) if n else np.zeros(0, np.int64)
-        cells, count = np.unique(cell, return_counts=True)
-        own, sketch = np.unique(cells // BUCKETS, return_inverse=True)
-        table = np.zeros((len(own), BUCKETS), np.int32)
-        table[sketch, cells % BUCKETS] = count
+        place = group * width + context + 1  # one per list and hour context
+        # kind 0: steps, kind 1: rates of change
+        cell = [(2 * place[r]) * BUCKETS + bucket(s) for r, s in steps]
+        rate = np.zeros(n)
+        if with_rates:
+            at, step, speed = rates_of_change(prices, group, epoch, status == OK, rules)
+            cell.append((2 * place[at] + 1) * BUCKETS + bucket(speed, RATE_FIRST, RATE_GROWTH))
+            big = step > rules.candidate
+            np.maximum.at(rate, at[big], speed[big])
+        own, table = _sketches(np.concatenate(cell) if n else np.zeros(0, np.int64))
+        kind, own = own % 2, own // 2
         first = np.flatnonzero(head)[own // width] if len(own) else np.zeros(0, np.int64)
-        flagged = np.flatnonzero(impossible | stuck | (away > 0))
+        flagged = np.flatnonzero(impossible | stuck | (away > 0) | (rate > 0))
         at, k, m = np.r_[first, flagged].astype(np.int64), len(own), len(flagged)
         none = lambda kind, size: pa.nulls(size, kind)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * BUCKETS), pa.array(table.ravel()))
         columns = [
             b["schedule_id"].take(pa.array(at)), b["bookmaker"].take(pa.array(at)),
             pa.array(np.r_[own % width - 1, context[flagged]].astype(np.int32)),
+            pa.concat_arrays([pa.array(kind.astype(np.int32)), none(pa.int32(), m)]),
             pa.concat_arrays([lists, none(lists.type, m)]),
             pa.concat_arrays([none(pa.int64(), k), b["id"].take(pa.array(flagged)).cast(pa.int64())]),
             pa.concat_arrays([none(pa.int32(), k), pa.array(seq[flagged].astype(np.int32))]),
             pa.array(np.r_[np.zeros(k, bool), impossible[flagged]]), pa.array(np.r_[np.zeros(k, bool), stuck[flagged]]),
-            pa.array(np.r_[np.zeros(k), away[flagged]]),
+            pa.array(np.r_[np.zeros(k), away[flagged]]), pa.array(np.r_[np.zeros(k), rate[flagged]]),
         ]
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -186,39 +225,82 @@ def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return merged.select(*keys, F.array(*[F.coalesce(f"b{i}", F.lit(0)) for i in range(BUCKETS)]).alias("counts"))
 
 
-def sketch_quantile(counts: Column, q: float) -> Column:
-    """Middle of the bucket that holds the quantile; NULL for an empty sketch."""
-    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, c: a + c)
-    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("at"))
-    found = F.aggregate(counts, start, lambda a, c: F.struct((a["sum"] + c).alias("sum"), (a["at"] + (a["sum"] + c < total * F.lit(q)).cast("int")).alias("at")))
-    return F.when(total > 0, F.lit(FIRST) * F.pow(F.lit(GROWTH), found["at"] + F.lit(0.5)))
+def sketch_quantile(counts: np.ndarray, q: float, first: float = FIRST, growth: float = GROWTH) -> np.ndarray:
+    """Middle of the bucket that holds the quantile, for each row of counters."""
+    reached = np.cumsum(counts, axis=1) >= counts.sum(axis=1, keepdims=True) * q - 1e-9
+    return first * growth ** (reached.argmax(axis=1) + 0.5)
+
+
+def fences(contexts: np.ndarray, source: np.ndarray, rules: SpikeRules, rate: bool = False) -> np.ndarray:
+    """The fence of each hour context. ``contexts``: a row of counters each; ``source``: the number of the source of each."""
+    scale = (RATE_FIRST, RATE_GROWTH) if rate else (FIRST, GROWTH)
+    whole = np.zeros((source.max(initial=-1) + 1, BUCKETS))
+    np.add.at(whole, source, contexts)
+    n = whole.sum(axis=1)[source]
+    blend = contexts + whole[source] * (rules.enough / np.maximum(n, 1))[:, None]
+    q1, q3 = sketch_quantile(blend, 0.25, *scale), sketch_quantile(blend, 0.75, *scale)
+    limit = (q3 + rules.spread * (q3 - q1)) * (1 + rules.small / np.maximum(n, 1))
+    return limit if rate else np.maximum(limit, rules.least)
 
 
-def fence(counts: Column, rules: SpikeRules) -> Column:
-    q1, q3 = sketch_quantile(counts, 0.25), sketch_quantile(counts, 0.75)
-    n = F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, c: a + c)
-    return F.greatest((q3 + F.lit(rules.spread) * (q3 - q1)) * (1 + F.try_divide(F.lit(rules.small), n)), F.lit(rules.least))
+_FENCES = "key bigint, no_key boolean, name string, no_name boolean, contexts array<int>, limits array<double>, whole double, rate_limits array<double>"
 
 
-def flag_readings(df: DataFrame, json_column: str, spec: NestedTable, rules: SpikeRules | None = None) -> DataFrame:
-    """Flagged readings of the nested lists in ``df``: id, bookmaker, seq, impossible, stuck, spike, away, fence.
+def _fences(merged: DataFrame, rules: SpikeRules) -> DataFrame:
+    """A row per source with the fence of each of its hour contexts, and of a context that has no steps (``whole``).
+
+    ``merged`` has a row per source, kind and context; a source has few contexts, which come together for one Arrow pass.
+    """
+    grouped = merged.groupBy("key", "no_key", "name", "no_name").agg(F.collect_list(F.struct("kind", "context", "counts")).alias("s"))
+    schema = to_arrow_schema(T._parse_datatype_string(_FENCES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.asarray(b["s"].value_lengths())
+            flat = b["s"].flatten()
+            kind, context = (np.asarray(flat.field(i)).astype(np.int64) for i in (0, 1))
+            counts = np.asarray(flat.field(2).flatten()).reshape(-1, BUCKETS).astype(np.float64)
+            source = np.repeat(np.arange(b.num_rows), sizes)
+            steps, rates = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+            limit = fences(counts[steps], source[steps], rules)
+            whole = np.full(b.num_rows, rules.least)
+            total = np.zeros((b.num_rows, BUCKETS))
+            np.add.at(total, source[steps], counts[steps])
+            some = np.flatnonzero(total.sum(axis=1) > 0)
+            whole[some] = fences(total[some], np.arange(len(some)), rules)
+            # a rate's fence stands at its context's place; infinite where the context has no rate
+            number = {(s, c): i for i, (s, c) in enumerate(zip(source[steps].tolist(), context[steps].tolist(), strict=True))}
+            fast = np.full(len(steps), np.inf)
+            for s, c, x in zip(source[rates].tolist(), context[rates].tolist(), fences(counts[rates], source[rates], rules, rate=True).tolist(), strict=True):
+                if (s, c) in number:
+                    fast[number[s, c]] = x
+            offsets = pa.array(np.searchsorted(source[steps], np.arange(b.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(context[steps].astype(np.int32)), pa.array(limit))]
+            columns = [b["key"], b["no_key"], b["name"], b["no_name"], *lists, pa.array(whole), pa.ListArray.from_arrays(offsets, pa.array(fast))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return grouped.mapInArrow(run, _FENCES)
+
+
+def flag_readings(df: DataFrame, json_column: str, spec: NestedTable, rules: SpikeRules | None = None, rates: bool = False) -> DataFrame:
+    """Flagged readings of the nested lists in ``df``: id, bookmaker, seq, impossible, stuck, spike, away, fence, and with
+    ``rates`` fast and rate.
 
     ``df`` has id, schedule_id, created_at and the JSON column; ``spec`` yields entry_no, bookmaker, seq, three prices,
     time and year. One pass over the texts leaves sketches and candidates, which are written once; only the candidates are
-    joined with the merged sketches of their sources.
+    joined with the fences of their sources.
     """
     rules = rules or SpikeRules()
     marked = df.select("id", "schedule_id", "created_at", json_column, F.monotonically_increasing_id().alias("row"))
-    tagged = written(flatten(marked, json_column, spec, ["id", "schedule_id", "created_at", "row"], _stage(rules)), "spikes")
-    by_context = merge_sketches(tagged.where("counts is not null"), ["key", "bookmaker", "context"])
-    n = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c)
-    own = by_context.select("key", "bookmaker", "context", "counts", F.when(n >= rules.enough, fence(F.col("counts"), rules)).alias("f"))
-    fences = (
-        merge_sketches(own, ["key", "bookmaker"])
-        .select("key", "bookmaker", fence(F.col("counts"), rules).alias("whole"))
-        .join(own.where("f is not null").groupBy("key", "bookmaker").agg(F.map_from_entries(F.collect_list(F.struct("context", "f"))).alias("contexts")), ["key", "bookmaker"], "left")
-    )
-    hits = tagged.where("counts is null").alias("h")
-    near = hits.join(fences.alias("f"), F.expr("h.key <=> f.key and h.bookmaker <=> f.bookmaker"), "left")
-    limit = F.coalesce(F.try_element_at("contexts", "context"), F.col("whole"), F.lit(rules.least))
-    return near.select("h.id", "h.bookmaker", "h.seq", "h.impossible", "h.stuck", ((F.col("away") > 0) & (F.col("away") > limit)).alias("spike"), "h.away", limit.alias("fence")).where("impossible or stuck or spike")
+    tagged = written(flatten(marked, json_column, spec, ["id", "schedule_id", "created_at", "row"], _stage(rules, rates)), "spikes")
+    source = ["key", "no_key", "name", "no_name"]  # sources with a NULL are joined like any other
+    tagged = tagged.select("*", F.coalesce("bookmaker", F.lit("")).alias("name"), F.col("bookmaker").isNull().alias("no_name"), F.col("key").isNull().alias("no_key")).withColumn("key", F.coalesce("key", F.lit(0)))
+    merged = merge_sketches(tagged.where("counts is not null"), [*source, "kind", "context"])
+    hits = tagged.where("counts is null").select(*source, "bookmaker", "id", "seq", "impossible", "stuck", "away", "rate", "context")
+    near = join_unique(hits, _fences(merged, rules), source, "left")
+    at = F.array_position("contexts", F.col("context")).cast("int") - 1
+    limit = F.coalesce(F.get("limits", at), F.col("whole"), F.lit(rules.least))
+    fast = F.coalesce(F.col("rate") > F.get("rate_limits", at), F.lit(False)) & (F.col("rate") > 0)
+    flags = ["impossible", "stuck", ((F.col("away") > 0) & (F.col("away") > limit)).alias("spike")]
+    out = near.select("id", "bookmaker", "seq", *flags, "away", limit.alias("fence"), *([fast.alias("fast"), "rate"] if rates else []))
+    return out.where("impossible or stuck or spike" + (" or fast" if rates else ""))

@@ -3,7 +3,7 @@
 Each text is turned into its shape mask: digits become ``9``, letters are upper-cased, all else stays, so a mask has the
 text's own length. Distinct masks are few; each is compiled once per worker into a ``Parser`` (which byte columns hold
 which field, which zone or letter words it names), and all texts of a mask are converted together as numpy columns. Zones
-convert through transition tables made per version of the rules (``ZONE_VERSIONS``).
+convert through the versioned transition tables of ``zones``.
 
 Results per text: a status and epoch seconds. ``OK``; ``AMBIGUOUS``, a wall time that occurred twice; ``NONEXISTENT``, one
 that was skipped; ``UNREADABLE``; NULL in, NULL out. Fractions are dropped. Reading rules:
@@ -13,7 +13,9 @@ that was skipped; ``UNREADABLE``; NULL in, NULL out. Fractions are dropped. Read
 * letter codes are fixed offsets, region names follow the region's own transitions, an explicit offset wins over a region;
 * year-less: the given year, of site time; without one, the latest year (of site time) whose instant is not after
   ``created``; 29 February looks only at leap years; without either, unreadable;
-* blanks around a text are ignored; a text longer than ``WIDTH`` bytes is no time.
+* blanks around a text are ignored, and so is how many there are within it and how many digits a fraction has: what is then
+  still longer than ``LONGEST`` bytes is longer than every form with the longest region name, and no time;
+* a wall time of a region outside the years of its table (``zones``) cannot be told and is unreadable.
 """
 
 from __future__ import annotations
@@ -26,28 +28,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidegrid.operators.zones import UNTIL, Zones, current_version, zones
+
 OK, AMBIGUOUS, NONEXISTENT, UNREADABLE = 0, 1, 2, 3
 WORDS = {AMBIGUOUS: "AMBIGUOUS", NONEXISTENT: "NONEXISTENT", UNREADABLE: "UNREADABLE"}
 SITE_OFFSET = 8 * 3600
-WIDTH = 56
+#: Bytes of most texts; the few longer ones are cleaned and laid out with LONGEST bytes.
+WIDTH, LONGEST = 56, 128
 #: Texts converted at once.
 ROWS = 1 << 16
 
-# Offsets in hours of letter codes, of regions with one offset, and standard offsets of regions under the EU rule.
+# Offsets in hours of letter codes.
 CODES = {
     "Z": 0, "UTC": 0, "GMT": 0, "UT": 0, "WET": 0, "WEST": 1, "BST": 1, "CET": 1, "CEST": 2, "EET": 2, "EEST": 3, "MSK": 3, "HKT": 8, "SGT": 8,
     "AWST": 8, "JST": 9, "KST": 9, "ACST": 9.5, "AEST": 10, "AEDT": 11, "BRT": -3, "ART": -3, "EST": -5, "EDT": -4, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7,
 }
-FIXED_REGIONS = {
-    "UTC": 0, "ETC/UTC": 0, "ATLANTIC/REYKJAVIK": 0, "ASIA/DUBAI": 4, "ASIA/KOLKATA": 5.5, "ASIA/BANGKOK": 7, "ASIA/JAKARTA": 7, "ASIA/SHANGHAI": 8, "ASIA/HONG_KONG": 8,
-    "ASIA/MACAU": 8, "ASIA/SINGAPORE": 8, "ASIA/TAIPEI": 8, "ASIA/MANILA": 8, "ASIA/TOKYO": 9, "ASIA/SEOUL": 9, "AUSTRALIA/BRISBANE": 10,
-}
-EU_REGIONS = {
-    "EUROPE/LONDON": 0, "EUROPE/DUBLIN": 0, "EUROPE/LISBON": 0, "ATLANTIC/CANARY": 0, "EUROPE/BERLIN": 1, "EUROPE/PARIS": 1, "EUROPE/MADRID": 1, "EUROPE/ROME": 1,
-    "EUROPE/AMSTERDAM": 1, "EUROPE/BRUSSELS": 1, "EUROPE/VIENNA": 1, "EUROPE/ZURICH": 1, "EUROPE/STOCKHOLM": 1, "EUROPE/OSLO": 1, "EUROPE/COPENHAGEN": 1,
-    "EUROPE/PRAGUE": 1, "EUROPE/WARSAW": 1, "EUROPE/BUDAPEST": 1, "EUROPE/BELGRADE": 1, "EUROPE/ZAGREB": 1, "EUROPE/LUXEMBOURG": 1, "EUROPE/ATHENS": 2,
-    "EUROPE/HELSINKI": 2, "EUROPE/BUCHAREST": 2, "EUROPE/SOFIA": 2, "EUROPE/KYIV": 2, "EUROPE/KIEV": 2, "EUROPE/RIGA": 2, "EUROPE/TALLINN": 2, "EUROPE/VILNIUS": 2,
-}
 MONTHS = {m: i + 1 for i, m in enumerate("JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split())}
 
 
@@ -65,29 +60,6 @@ def days_in_month(y: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.array([0, 31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])[np.clip(m, 0, 12)] + ((m == 2) & leap)
 
 
-def _eu_transitions(standard: float, years: range) -> tuple[np.ndarray, np.ndarray]:
-    """UTC seconds of changes (last Sundays of March and October, 01:00 UTC) and the offset after each."""
-    at, offset = [-(1 << 60)], [standard * 3600]
-    for y in years:
-        for month, add in ((3, 3600), (10, 0)):
-            last = int(days_from_civil(np.array(y), np.array(month), np.array(31)))
-            at.append((last - (last + 4) % 7) * 86400 + 3600)
-            offset.append(standard * 3600 + add)
-    return np.array(at, np.int64), np.array(offset, np.int64)
-
-
-@lru_cache
-def _zones(version: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    if version != "eu-1996":
-        raise ValueError(f"no zone tables of version {version!r}")
-    fixed = {r: (np.array([-(1 << 60)]), np.array([int(h * 3600)])) for r, h in FIXED_REGIONS.items()}
-    return fixed | {r: _eu_transitions(h, range(1996, 2100)) for r, h in EU_REGIONS.items()}
-
-
-#: Versions of the transition tables; the name is part of every normaliser, so results can be tied to rules.
-ZONE_VERSIONS = ("eu-1996",)
-
-
 def wall_to_utc(wall: np.ndarray, zone: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Epoch seconds of wall-clock seconds in a zone, and their status."""
     at, offset = zone
@@ -101,7 +73,7 @@ def wall_to_utc(wall: np.ndarray, zone: tuple[np.ndarray, np.ndarray]) -> tuple[
 
 _CLOCK = r"(?P<H>99?):(?P<M>99)(?::(?P<S>99)(?:[.,]9+)?)?"
 _MONTH = "(?P<b>" + "|".join(MONTHS) + ")[A-Z]*[.]?"
-_HALF = r"(?:\s*(?P<p>[AP])[.]?M[.]?)?"
+_HALF = r"(?:\s*(?P<p>[AP])[.]?M(?![A-Z])[.]?)?"
 _FORMS = [
     re.compile(p)
     for p in (
@@ -115,7 +87,7 @@ _FORMS = [
     )
 ]
 _EPOCH = re.compile(r"(?P<E>9{9,17})(?:[.]9*)?")
-_ZONE = re.compile(r"(?:(?P<base>UTC|GMT)\s*)?(?P<sign>[+-])(?P<h>99?)(?::?(?P<mi>99))?\s*(?:[\[(]?[A-Z_]+/[A-Z_/]+[\])]?)?|(?P<name>[A-Z][A-Z_/]*)|")
+_ZONE = re.compile(r"(?:(?P<base>UTC|GMT)\s*)?(?P<sign>[+-])(?P<h>99?)(?::?(?P<mi>99))?\s*(?:[\[(]?[A-Z_]+/[A-Z_/-]+[\])]?)?|(?P<name>[A-Z][A-Z_/-]*)|")
 
 
 @dataclass(frozen=True)
@@ -171,7 +143,7 @@ def _number(cells: np.ndarray, span: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def _run(p: Parser, cells: np.ndarray, year: np.ndarray, created: np.ndarray, zones: dict, site: int) -> tuple[np.ndarray, np.ndarray]:
+def _run(p: Parser, cells: np.ndarray, year: np.ndarray, created: np.ndarray, tables: Zones, site: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(cells)
     if p.epoch:
         digits = p.spans["E"][1] - p.spans["E"][0]
@@ -194,7 +166,7 @@ def _run(p: Parser, cells: np.ndarray, year: np.ndarray, created: np.ndarray, zo
         offset = p.signed * (get["h"] * 3600 + mi * 60)
     zone = None
     if p.region:
-        zone = zones.get(p.region)
+        zone = tables.get(p.region)
         if zone is None:
             return np.zeros(n, np.int64), np.full(n, UNREADABLE, np.int8)
     clock = H * 3600 + M * 60 + S
@@ -220,6 +192,7 @@ def _run(p: Parser, cells: np.ndarray, year: np.ndarray, created: np.ndarray, zo
         utc, status = wall - offset, np.zeros(n, np.int8)
     else:
         utc, status = wall_to_utc(wall, zone)
+        bad |= (wall < tables.since(p.region)) | (wall >= UNTIL)
     return utc, np.where(bad, UNREADABLE, status).astype(np.int8)
 
 
@@ -229,15 +202,15 @@ _MASK[48:58] = 57
 _MASK[97:123] -= 32
 
 
-def _cells(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of each text, padded with 0 to WIDTH, and its length."""
+def _cells(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each text, padded with 0 to ``width``, and its length."""
     texts = texts.cast(pa.large_string())
     buffers = texts.buffers()
     off = np.frombuffer(buffers[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and buffers[2].size else np.zeros(1, np.uint8)
     length = np.diff(off)
-    at = off[:-1, None] + np.arange(WIDTH)
-    return np.where(np.arange(WIDTH) < length[:, None], data[np.minimum(at, len(data) - 1)], 0), length
+    at = off[:-1, None] + np.arange(width)
+    return np.where(np.arange(width) < length[:, None], data[np.minimum(at, len(data) - 1)], 0), length
 
 
 def _groups(masks: np.ndarray) -> list[np.ndarray]:
@@ -259,50 +232,55 @@ def _groups(masks: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _converted(
+    cells: np.ndarray, length: np.ndarray, year: np.ndarray, created: np.ndarray, tables: Zones, site: int, form: re.Pattern | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Status, epoch seconds and whether the mask is the plain form, mask by mask."""
+    k = len(cells)
+    masks = np.ascontiguousarray(_MASK[cells])
+    s, e, plain = np.full(k, UNREADABLE, np.int8), np.zeros(k, np.int64), np.zeros(k, bool)
+    for rows in _groups(masks):
+        rows = rows[(length[rows] <= cells.shape[1]) & (length[rows] > 0)]
+        parser = compile_mask(masks[rows[0]].tobytes().rstrip(b"\0").decode("latin-1")) if len(rows) else None
+        if parser is not None:
+            e[rows], s[rows] = _run(parser, cells[rows], year[rows], created[rows], tables, site)
+            if form is not None and form.fullmatch(masks[rows[0]].tobytes().rstrip(b"\0").decode("latin-1")):
+                plain[rows] = s[rows] == OK
+    return s, e, plain
+
+
 def parse_times(
-    texts: pa.Array, years: pa.Array | None = None, created_us: np.ndarray | None = None, plain: str | None = None, version: str = "eu-1996", site: int = SITE_OFFSET
+    texts: pa.Array, years: pa.Array | None = None, created_us: np.ndarray | None = None, plain: str | None = None, version: str | None = None, site: int = SITE_OFFSET
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Status (-1 for NULL), epoch seconds, and whether the text is a real date in the plain form.
 
     ``plain`` is a regular expression that a mask must match fully. ``created_us``: microseconds, ``NO_TIME`` for NULL.
+    ``version``: of the zone tables, by default what is installed; plans name it (``zones.current_version``).
     """
-    n, zones = len(texts), _zones(version)
+    n, tables = len(texts), zones(version or current_version())
     status, epoch, is_plain = np.full(n, -1, np.int8), np.zeros(n, np.int64), np.zeros(n, bool)
     form = re.compile(plain) if plain else None
     for lo in range(0, n, ROWS):
         part = texts.slice(lo, ROWS)
         null = np.asarray(part.is_null())
         raw = part.fill_null("")
-        cells, length = _cells(raw)
         trimmed = pc.utf8_trim_whitespace(raw)
         cut = np.asarray(pc.not_equal(trimmed, raw))
-        if cut.any():
-            cells, length = _cells(trimmed)
+        cells, length = _cells(trimmed)
         k = len(part)
         year = np.full(k, -1, np.int64)
         if years is not None:
             y = pc.utf8_trim_whitespace(years.slice(lo, ROWS).fill_null(""))
-            ycells, ylen = _cells(y)
-            good = (ylen == 4) & ((ycells[:, :4] >= 48) & (ycells[:, :4] <= 57)).all(axis=1)
+            ycells, ylen = _cells(y, 4)
+            good = (ylen == 4) & ((ycells >= 48) & (ycells <= 57)).all(axis=1)
             year = np.where(good, _number(ycells, (0, 4)), -1)
         made = np.full(k, NO_TIME) if created_us is None else np.asarray(created_us[lo : lo + k])
         created = np.where(made == NO_TIME, NO_TIME, made // 1_000_000)
-        masks = np.ascontiguousarray(_MASK[cells])
-        s, e, pl = np.full(k, UNREADABLE, np.int8), np.zeros(k, np.int64), np.zeros(k, bool)
-        for rows in _groups(masks):
-            size = int(length[rows[0]])
-            if size > WIDTH or size == 0:
-                rows = rows[length[rows] <= WIDTH]
-                size = int(length[rows[0]]) if len(rows) else 0
-                if not size:
-                    continue
-            mask = masks[rows[0]].tobytes().rstrip(b"\0").decode("latin-1")
-            parser = compile_mask(mask)
-            if parser is None:
-                continue
-            e[rows], s[rows] = _run(parser, cells[rows], year[rows], created[rows], zones, site)
-            if form is not None and form.fullmatch(mask):
-                pl[rows] = s[rows] == OK
+        s, e, pl = _converted(cells, length, year, created, tables, site, form)
+        long = np.flatnonzero(length > WIDTH)
+        if len(long):
+            bare = pc.replace_substring_regex(pc.replace_substring_regex(trimmed.take(pa.array(long)), r"\s+", " "), r"([.,]\d)\d+", r"\1")
+            s[long], e[long], _ = _converted(*_cells(bare, LONGEST), year[long], created[long], tables, site, None)
         status[lo : lo + k], epoch[lo : lo + k], is_plain[lo : lo + k] = np.where(null, -1, s), e, pl & ~cut
     return status, epoch, is_plain
 

@@ -16,6 +16,7 @@ from tidegrid.operators.nested import Stage, flatten
 from tidegrid.operators.orphans import classified, orphans
 from tidegrid.operators.spikes import flag_readings, numbers
 from tidegrid.operators.timestamps import OK, PLAIN_FULL, PLAIN_LOOSE, PLAIN_SHORT, created_microseconds, instants, parse_times
+from tidegrid.operators.zones import current_version
 from tidegrid.plans import odds_tables as tables
 from tidegrid.session import table
 
@@ -31,8 +32,8 @@ def _batch(fields: tuple[T.StructField, ...], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _times(b: pa.RecordBatch, plain: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return parse_times(b["time"], b["year"] if "year" in b.schema.names else None, created_microseconds(b["created_at"]), plain)
+def _times(b: pa.RecordBatch, version: str, plain: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return parse_times(b["time"], b["year"] if "year" in b.schema.names else None, created_microseconds(b["created_at"]), plain, version)
 
 
 # ---- problem 1: irregular readings onto a regular grid
@@ -43,9 +44,10 @@ _SERIES_VALUES = (*_SERIES, T.StructField("home", T.DoubleType()), T.StructField
 
 def _series_stage(src: str, key: str, values: bool) -> Stage:
     """Readings with an instant, as series rows; without values one per series and slot of the chunk is enough."""
+    version = current_version()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        status, epoch, _ = _times(b)
+        status, epoch, _ = _times(b, version)
         match = np.asarray(b[key].fill_null(0))
         use = np.flatnonzero((status == OK) & (match != 0) & np.asarray(b["bookmaker"].is_valid()))
         if not values and len(use):
@@ -86,8 +88,10 @@ _INSTANT = (T.StructField("src", T.StringType()), T.StructField("id", T.LongType
 
 
 def _instant_stage(src: str, plain: str, cases_only: bool) -> Stage:
+    version = current_version()
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        status, epoch, is_plain = _times(b, plain)
+        status, epoch, is_plain = _times(b, version, plain)
         use = np.flatnonzero((status >= 0) & ~(is_plain & cases_only))
         at, n = pa.array(use), len(use)
         named = "bookmaker" in b.schema.names
@@ -117,6 +121,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return flag_readings(table(spark, sf, "match_odds"), "payload", tables.READING_PRICES).select("id", "bookmaker", "seq").distinct()
 
 
+def p5_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Every flag of every flagged reading, the rate of change among them, with the fence it was held against."""
+    return flag_readings(table(spark, sf, "match_odds"), "payload", tables.READING_PRICES, rates=True)
+
+
 # ---- problem 6: references to records that do not exist
 
 _REFERENCES = {"betting_odds": "schedule_id", "sax_encoding": "match_id", "total_handicap": "match_id"}
@@ -199,6 +208,7 @@ QUERIES = {
     "p1_grid": p1_grid,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p5_flags": p5_flags,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p6_composite": p6_composite,

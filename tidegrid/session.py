@@ -35,11 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a local session) a folder of our own is made and set.
+    Only where that setting is absent in a local session (tests) a folder of our own is made and set; on a cluster a folder
+    of this machine would be another one on each executor, so there the setting must be made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="tidegrid-shared-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.operators.upsert import overwrite
+from tidegrid.session import shared_dir
 
 
 def upsert_stream(source: DataFrame, target: str, keys: list[str], order: list[Column], checkpoint: str):
@@ -29,7 +32,8 @@ def daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The windowed counts of the events table run as a stream over its file until all is read."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    name = "daily_counts_result"
-    query = windowed_counts(stream, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    name = f"daily_counts_{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark).rstrip('/')}/{name}"
+    query = windowed_counts(stream, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", place).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
