@@ -316,15 +316,6 @@ def t09(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", "label", F.when(u < 0.8, "train").otherwise("test").alias("part"))
 
 
-@_query("ref_m06_rule_prediction", "SELECT id, CASE WHEN dir > 0 THEN '主胜' WHEN dir < 0 THEN '主队不胜' WHEN water < -0.1 THEN '主胜' WHEN water > 0.1 THEN '主队不胜' ELSE '主队不胜' END AS prediction FROM (SELECT t.id, f.line_value - i.line_value AS dir, CAST(t.final_odds_home - t.init_odds_home AS DOUBLE) AS water FROM total_handicap t JOIN handicap_lines i ON i.line_name = t.handicap JOIN handicap_lines f ON f.line_name = t.final_handicap) x")
-def m06(spark: SparkSession, sf: str) -> DataFrame:
-    lines = F.broadcast(table(spark, sf, "handicap_lines"))  # 29 rows, fixed
-    i, f = lines.select(F.col("line_name").alias("handicap"), F.col("line_value").alias("iv")), lines.select(F.col("line_name").alias("final_handicap"), F.col("line_value").alias("fv"))
-    t = table(spark, sf, "total_handicap").join(i, "handicap").join(f, "final_handicap")
-    water = (F.col("final_odds_home") - F.col("init_odds_home")).cast("double")
-    return t.select("id", odds.rule_prediction(F.col("fv") - F.col("iv"), water, F.lit(0.0)).alias("prediction"))
-
-
 @_query("ref_r10_line_words")
 def r10(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "total_handicap").select("id", "handicap", odds.line_value(F.col("handicap")).alias("line"), odds.line_value(F.col("handicap"), 0.0).alias("line_or_level"))

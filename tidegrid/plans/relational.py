@@ -1,136 +1,443 @@
-"""Views, filters, joins, aggregates, orders and set operations over the odds tables, as SQL planned by Catalyst."""
+"""Views, filters, joins, aggregates, orders and set operations over the odds tables, as DataFrames of the library's Columns.
+
+``relational_sql`` states each query a second time, as SQL for the oracle.
+"""
 
 from __future__ import annotations
 
-from tidegrid.plans.shared import shared
-
-_H, _A = "try_cast(split_part({0}, '-', 1) AS INT)", "try_cast(split_part({0}, '-', 2) AS INT)"
-
-
-def goals(column: str) -> tuple[str, str]:
-    return _H.format(column), _A.format(column)
-
-
-def result(column: str, labels: tuple[str, str, str], rest: str) -> str:
-    """The outcome of a score; ``rest`` for a missing or malformed one."""
-    h, a = goals(column)
-    return f"CASE WHEN {h} > {a} THEN '{labels[0]}' WHEN {h} < {a} THEN '{labels[2]}' WHEN {h} = {a} THEN '{labels[1]}' ELSE {rest} END"
-
-
-VIEW_RESULT = result("lm.final_score", ("主胜", "平局", "客胜"), "'平局'")
-OUTCOME = result("final_score", ("home", "draw", "away"), "NULL")
-HDA = result("final_score", ("H", "D", "A"), "'D'")
-#: Key of a handicap bookmaker as the other tables write it.
-CANONICAL = "CASE th.bookmaker WHEN 'bet365' THEN 'Bet 365' WHEN 'easybets' THEN 'Easybets' WHEN 'macau' THEN 'Macauslot' ELSE th.bookmaker END"
-#: The latest row of each match (keep-last upsert).
-LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY created_at DESC, id DESC) AS rn FROM league_matches) ranked WHERE rn = 1)"
-ENCODED = "SELECT s.id, s.bookmaker, s.match_id, s.sax_interleaved AS code, l.final_score, " + OUTCOME.replace("final_score", "l.final_score") + f" AS outcome FROM sax_encoding s JOIN {LATEST} l ON l.match_id = s.match_id"
-SCORED = f"SELECT * FROM ({ENCODED}) e WHERE outcome IS NOT NULL AND code IS NOT NULL AND code <> ''"
-
-
-def patterns(code: str, support: int, purity: float, source: str = SCORED) -> str:
-    """Pattern statistics: outcomes per code, purity and the dominant outcome (ties: home, draw, away)."""
-    return f"""SELECT bookmaker, pattern, total, home, draw, away, greatest(home, draw, away) / total AS purity,
-      CASE WHEN home >= draw AND home >= away THEN 'home' WHEN draw >= away THEN 'draw' ELSE 'away' END AS dominant, first_seen
-    FROM (SELECT bookmaker, {code} AS pattern, count(*) AS total, count(CASE WHEN outcome = 'home' THEN 1 END) AS home,
-      count(CASE WHEN outcome = 'draw' THEN 1 END) AS draw, count(CASE WHEN outcome = 'away' THEN 1 END) AS away, min(id) AS first_seen
-      FROM ({source}) scored GROUP BY bookmaker, {code}) counted
-    WHERE total >= {support} AND greatest(home, draw, away) / total >= {purity}"""
-
-
-SQL: dict[str, str] = {
-    # projections
-    "ref_p01_view_projection": "SELECT schedule_id AS match_id, bookmaker_name AS bookmaker, final_win, final_draw, final_lose FROM betting_odds",
-    "ref_p02_result_case": f"SELECT match_id, final_score, {VIEW_RESULT} AS result FROM league_matches lm",
-    "ref_p03_canonical_key": f"SELECT id, match_id, {CANONICAL} AS bookmaker FROM total_handicap th",
-    "ref_p04_alias": "SELECT id, CASE WHEN lower(bookmaker) IN ('bet365', 'bet 365', '36*') THEN 'Bet 365' WHEN lower(bookmaker) IN ('easybets', 'yi') THEN 'Easybets' ELSE bookmaker END AS bookmaker FROM total_handicap",
-    "ref_p05_slug": "SELECT id, replace(replace(lower(bookmaker_name), ' ', '_'), '/', '_') AS slug FROM betting_odds",
-    "ref_p06_upload_record": "SELECT bookmaker, match_id, season, sax_interleaved, sax_delta, home_mean, draw_mean, away_mean, running_odds_count FROM sax_encoding WHERE coalesce(sax_interleaved, '') <> '' OR coalesce(sax_delta, '') <> ''",
-    "ref_p08_defaults": "SELECT id, coalesce(nullif(league_id, 0), -1) AS league_id, coalesce(home_team_name, concat('Unknown (', CAST(home_team_id AS VARCHAR(20)), ')')) AS home_team_name FROM league_matches",
-    # filters
-    "ref_f01_equality": "SELECT id, schedule_id, final_win FROM betting_odds WHERE bookmaker_name = 'Bet 365'",
-    "ref_f02_price_range": "SELECT id, schedule_id, final_win FROM betting_odds WHERE final_win BETWEEN 1.80 AND 2.20",
-    "ref_f03_not_null": "SELECT id, match_id, final_score FROM league_matches WHERE final_score IS NOT NULL",
-    "ref_f04_whitelist": "SELECT id, bookmaker_name FROM betting_odds WHERE bookmaker_name IN ('William Hill', 'Bet 365', 'Easybets', 'Lottery Official', 'Macauslot')",
-    "ref_f05_valid_prices": "SELECT id, final_win, final_draw, final_lose FROM betting_odds WHERE final_win > 0 AND final_draw > 0 AND final_lose > 0",
-    "ref_f06_min_length": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) >= 2",
-    "ref_f07_all_valid": "SELECT schedule_id, count(*) AS n_rows, count(CASE WHEN final_win IS NULL OR final_draw IS NULL OR final_lose IS NULL THEN 1 END) AS n_bad, CASE WHEN count(CASE WHEN final_win IS NULL OR final_draw IS NULL OR final_lose IS NULL THEN 1 END) = 0 THEN 1 ELSE 0 END AS used FROM betting_odds WHERE schedule_id IS NOT NULL GROUP BY schedule_id",
-    "ref_f10_nonempty_code": "SELECT id, sax_interleaved FROM sax_encoding WHERE coalesce(sax_interleaved, '') <> ''",
-    "ref_f11_min_support": f"SELECT code, count(*) AS n FROM ({ENCODED}) e GROUP BY code HAVING count(*) >= 5",
-    "ref_f12_purity": f"SELECT bookmaker, pattern, total, round(purity, 6) AS purity FROM ({patterns('code', 3, 0.65)}) p",
-    "ref_f14_line_present": "SELECT t.id, h.line_value FROM total_handicap t JOIN handicap_lines h ON h.line_name = t.handicap WHERE h.line_value <> 0",
-    "ref_f15_skip_existing": "SELECT l.id, l.match_id FROM league_matches l LEFT ANTI JOIN total_handicap t ON t.match_id = l.match_id",
-    "ref_f17_minute_dedupe": "SELECT user_id, date_trunc('minute', ts) AS minute, min(event_id) AS first_event FROM events GROUP BY user_id, date_trunc('minute', ts)",
-    # joins
-    "ref_j01_matches_odds": f"SELECT lm.match_id, lm.league_name, lm.season, bo.bookmaker_name, bo.final_win, bo.final_draw, bo.final_lose, lm.final_score, {VIEW_RESULT} AS result FROM league_matches lm JOIN betting_odds bo ON lm.match_id = bo.schedule_id",
-    "ref_j02_odds_encoding": "SELECT bo.schedule_id, bo.bookmaker_name, bo.final_win, s.sax_interleaved, s.sax_delta FROM betting_odds bo JOIN sax_encoding s ON s.match_id = bo.schedule_id AND s.bookmaker = bo.bookmaker_name",
-    "ref_j03_encoding_results": "SELECT s.id, s.bookmaker, s.match_id, s.sax_interleaved, lm.final_score FROM sax_encoding s LEFT JOIN league_matches lm ON lm.match_id = s.match_id",
-    "ref_j04_encoding_handicap": f"SELECT s.id, s.bookmaker, s.match_id, s.sax_interleaved, lm.final_score, th.handicap AS init_handicap, th.final_handicap, th.init_odds_home, th.final_odds_home FROM sax_encoding s LEFT JOIN league_matches lm ON lm.match_id = s.match_id LEFT JOIN total_handicap th ON th.match_id = s.match_id AND s.bookmaker = {CANONICAL}",
-    "ref_j05_attach_score": f"SELECT s.id, s.match_id, l.final_score FROM sax_encoding s LEFT JOIN {LATEST} l ON l.match_id = s.match_id",
-    "ref_j06_common_matches": "SELECT a.match_id, min(a.sax_interleaved) AS code_a, min(b.sax_interleaved) AS code_b FROM sax_encoding a JOIN sax_encoding b ON a.match_id = b.match_id WHERE a.bookmaker = 'Bet 365' AND b.bookmaker = 'Easybets' GROUP BY a.match_id",
-    "ref_j07_library_lookup": f"WITH lib AS ({patterns('substring(code, 1, 3)', 5, 0.5)}) SELECT e.id, lib.dominant AS prediction, e.outcome FROM ({SCORED}) e LEFT JOIN lib ON lib.bookmaker = e.bookmaker AND lib.pattern = substring(e.code, 1, 3)",
-    "ref_j10_team_names": "SELECT m.id, coalesce(t.name, concat('Unknown (', CAST(m.home_team_id AS VARCHAR(20)), ')')) AS home_name FROM league_matches m LEFT JOIN (SELECT home_team_id AS team_id, max(home_team_name) AS name FROM league_matches WHERE home_team_name IS NOT NULL GROUP BY home_team_id) t ON t.team_id = m.home_team_id",
-    "ref_j15_sources_by_id": "SELECT l.match_id, CASE WHEN o.schedule_id IS NULL THEN 0 ELSE 1 END AS has_odds, CASE WHEN h.match_id IS NULL THEN 0 ELSE 1 END AS has_handicap FROM (SELECT DISTINCT match_id FROM league_matches) l LEFT JOIN (SELECT DISTINCT schedule_id FROM match_odds) o ON o.schedule_id = l.match_id LEFT JOIN (SELECT DISTINCT match_id FROM total_handicap) h ON h.match_id = l.match_id",
-    # aggregates
-    "ref_a01_outcome_rates": "SELECT bookmaker_name, count(*) AS total, count(CASE WHEN h > a THEN 1 END) AS wins, count(CASE WHEN h = a THEN 1 END) AS draws, count(CASE WHEN coalesce(h > a, false) OR coalesce(h = a, false) THEN NULL ELSE 1 END) AS losses, round(100.0 * count(CASE WHEN h > a THEN 1 END) / count(*), 2) AS win_pct FROM (SELECT bo.bookmaker_name, {0} AS h, {1} AS a FROM betting_odds bo JOIN league_matches lm ON lm.match_id = bo.schedule_id WHERE lm.final_score IS NOT NULL AND bo.final_win BETWEEN 1.5 AND 2.5) x GROUP BY bookmaker_name".format(*goals("lm.final_score")),
-    "ref_a03_pattern_stats": f"SELECT bookmaker, pattern, total, home, draw, away, round(purity, 6) AS purity, dominant FROM ({patterns('substring(code, 1, 4)', 3, 0.0)}) p",
-    "ref_a04_strategy_summary": f"WITH p AS ({patterns('substring(code, 1, 4)', 3, 0.0)}), ranked AS (SELECT *, row_number() OVER (PARTITION BY bookmaker ORDER BY purity DESC, total DESC, pattern) AS r FROM p) SELECT bookmaker, count(*) AS n_patterns, CAST(sum(total) AS BIGINT) AS supported, round(avg(CASE WHEN r <= 20 THEN purity END), 6) AS top_purity, round(sum(CASE WHEN r <= 20 THEN total ELSE 0 END) / sum(total), 6) AS top_coverage, count(CASE WHEN purity >= 0.7 THEN 1 END) AS n_pure, round(sum(CASE WHEN purity >= 0.7 THEN total ELSE 0 END) / sum(total), 6) AS pure_coverage FROM ranked GROUP BY bookmaker",
-    "ref_a05_coverage_of_all": f"WITH p AS ({patterns('substring(code, 1, 4)', 3, 0.0)}), ranked AS (SELECT *, row_number() OVER (PARTITION BY bookmaker ORDER BY total DESC, purity DESC, pattern) AS r FROM p), n AS (SELECT bookmaker, count(*) AS matches FROM ({SCORED}) s GROUP BY bookmaker) SELECT ranked.bookmaker, round(sum(CASE WHEN r <= 20 THEN total ELSE 0 END) / max(matches), 6) AS coverage FROM ranked JOIN n ON n.bookmaker = ranked.bookmaker GROUP BY ranked.bookmaker",
-    "ref_a06_two_level_patterns": f"""WITH base AS ({SCORED}), coarse AS ({patterns('substring(code, 1, 2)', 5, 0.0)}),
-      fine AS ({patterns('substring(code, 1, 4)', 5, 0.65, f"SELECT b.* FROM ({SCORED}) b JOIN ({patterns('substring(code, 1, 2)', 5, 0.0)}) c ON c.bookmaker = b.bookmaker AND c.pattern = substring(b.code, 1, 2) WHERE c.purity < 0.7")})
-      SELECT 'coarse' AS level, bookmaker, pattern, total, round(purity, 6) AS purity, dominant FROM coarse WHERE purity >= 0.7
-      UNION ALL SELECT 'fine', bookmaker, pattern, total, round(purity, 6), dominant FROM fine""",
-    "ref_a07_library_accuracy": f"WITH lib AS ({patterns('substring(code, 1, 3)', 5, 0.45)}) SELECT e.bookmaker, count(*) AS matches, count(lib.pattern) AS covered, count(CASE WHEN lib.dominant = e.outcome THEN 1 END) AS right_ones, count(CASE WHEN lib.purity >= 0.70 THEN 1 END) AS high_confidence FROM ({SCORED}) e LEFT JOIN lib ON lib.bookmaker = e.bookmaker AND lib.pattern = substring(e.code, 1, 3) GROUP BY e.bookmaker",
-    "ref_a08_fusion": f"""WITH lib AS ({patterns('substring(code, 1, 3)', 5, 0.45)}),
-      one AS (SELECT bookmaker, match_id, min(code) AS code, min(outcome) AS outcome FROM ({SCORED}) s GROUP BY bookmaker, match_id),
-      looked AS (SELECT o.bookmaker, o.match_id, o.outcome, lib.dominant AS p FROM one o LEFT JOIN lib ON lib.bookmaker = o.bookmaker AND lib.pattern = substring(o.code, 1, 3)),
-      pair AS (SELECT a.match_id, a.outcome, a.p AS pa, b.p AS pb FROM looked a JOIN looked b ON a.match_id = b.match_id WHERE a.bookmaker = 'Bet 365' AND b.bookmaker = 'Easybets')
-      SELECT CASE WHEN pa IS NOT NULL AND pb IS NOT NULL AND pa = pb THEN 'both_high' WHEN pa IS NOT NULL AND pb IS NOT NULL THEN 'disagree' WHEN pa IS NULL AND pb IS NULL THEN 'both_low' ELSE 'single_high' END AS kind,
-        count(*) AS n, count(CASE WHEN coalesce(pa, pb) = outcome THEN 1 END) AS right_ones FROM pair GROUP BY 1""",
-    "ref_a09_tallies": "SELECT league_name, season, count(*) AS n FROM league_matches GROUP BY league_name, season",
-    "ref_a10_top_words": "SELECT bookmaker, code, n FROM (SELECT bookmaker, sax_interleaved AS code, count(*) AS n, row_number() OVER (PARTITION BY bookmaker ORDER BY count(*) DESC, min(id)) AS r FROM sax_encoding WHERE sax_interleaved IS NOT NULL GROUP BY bookmaker, sax_interleaved) x WHERE r <= 5",
-    "ref_a11_profile": "SELECT s.bookmaker, count(*) AS n, round(avg(CAST(nullif(b.final_win, 0) AS DOUBLE)), 6) AS mean_win, round(avg(CAST(nullif(b.final_draw, 0) AS DOUBLE)), 6) AS mean_draw, round(avg(CAST(nullif(b.final_lose, 0) AS DOUBLE)), 6) AS mean_lose FROM sax_encoding s JOIN betting_odds b ON b.schedule_id = s.match_id AND b.bookmaker_name = s.bookmaker GROUP BY s.bookmaker",
-    "ref_a12_prefix_rates": f"SELECT prefix, total, round(home / scored, 6) AS win_rate FROM (SELECT substring(code, 1, 2) AS prefix, count(*) AS total, count(outcome) AS scored, count(CASE WHEN outcome = 'home' THEN 1 END) AS home FROM ({ENCODED}) e WHERE code IS NOT NULL GROUP BY substring(code, 1, 2)) x WHERE total >= 10 AND scored > 0",
-    "ref_a13_series_stats": "SELECT user_id, count(*) AS n, round(avg(value), 3) AS mean, round(stddev_pop(value), 3) AS dev FROM events GROUP BY user_id",
-    "ref_a14_length_percentiles": "SELECT percentile_cont(0.25) WITHIN GROUP (ORDER BY n) AS p25, percentile_cont(0.5) WITHIN GROUP (ORDER BY n) AS p50, percentile_cont(0.75) WITHIN GROUP (ORDER BY n) AS p75, percentile_cont(0.9) WITHIN GROUP (ORDER BY n) AS p90, round(avg(n), 6) AS mean, CAST(max(n) AS BIGINT) AS longest FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY user_id) x",
-    "ref_a19_recommendation": "SELECT bookmaker, CASE WHEN med < 15 THEN 6 WHEN med > 30 THEN 10 ELSE 8 END AS word_size, 4 AS alphabet_size, CAST(floor(greatest(32, p90)) AS BIGINT) AS interpolate_len FROM (SELECT bookmaker, percentile_cont(0.5) WITHIN GROUP (ORDER BY CAST(running_odds_count AS DOUBLE)) AS med, percentile_cont(0.9) WITHIN GROUP (ORDER BY CAST(running_odds_count AS DOUBLE)) AS p90 FROM sax_encoding GROUP BY bookmaker) x",
-    "ref_a21_pooled": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS dev, min(value) AS low, max(value) AS high FROM events GROUP BY event_type",
-    "ref_a24_accuracy": f"WITH lib AS ({patterns('substring(code, 1, 3)', 5, 0.0)}) SELECT e.bookmaker, round(avg(CASE WHEN lib.dominant = e.outcome THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM ({SCORED}) e JOIN lib ON lib.bookmaker = e.bookmaker AND lib.pattern = substring(e.code, 1, 3) GROUP BY e.bookmaker",
-    "ref_a25_threshold_accuracy": f"WITH lib AS ({patterns('substring(code, 1, 3)', 3, 0.0)}), t AS (SELECT 0.3 AS threshold UNION ALL SELECT 0.4 UNION ALL SELECT 0.5 UNION ALL SELECT 0.6 UNION ALL SELECT 0.7) SELECT CAST(t.threshold AS DOUBLE) AS threshold, count(*) AS n, round(avg(CASE WHEN lib.dominant = e.outcome THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM ({SCORED}) e JOIN lib ON lib.bookmaker = e.bookmaker AND lib.pattern = substring(e.code, 1, 3) JOIN t ON lib.purity >= t.threshold GROUP BY t.threshold",
-    "ref_a26_label_tallies": f"SELECT count(CASE WHEN r = 'H' THEN 1 END) AS h, count(CASE WHEN r = 'D' THEN 1 END) AS d, count(CASE WHEN r = 'A' THEN 1 END) AS a FROM (SELECT {HDA} AS r FROM league_matches) x",
-    "ref_a27_row_count": "SELECT count(*) AS n FROM betting_odds",
-    "ref_a28_best_strategy": f"WITH p AS ({patterns('substring(code, 1, 4)', 3, 0.0)}), s AS (SELECT bookmaker, avg(purity) AS purity, count(CASE WHEN purity >= 0.7 THEN 1 END) AS high, sum(total) AS total FROM p GROUP BY bookmaker) SELECT max_by(bookmaker, purity * ln(1 + high)) AS best FROM s",
-    "ref_a29_bookmakers": "SELECT DISTINCT bookmaker_name FROM betting_odds",
-    # sequences
-    "ref_w01_previous_gap": "SELECT event_id, round(CAST(unix_seconds - lag(unix_seconds) OVER (PARTITION BY user_id ORDER BY unix_seconds, event_id) AS DOUBLE) / 3600, 6) AS gap_hours FROM (SELECT event_id, user_id, unix_seconds(CAST(ts AS TIMESTAMP)) AS unix_seconds FROM events) x",
-    "ref_w02_change_runs": "SELECT user_id, count(CASE WHEN prev IS NULL OR prev <> event_type THEN 1 END) - 1 AS changes FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) x GROUP BY user_id",
-    "ref_w05_cycle_predictor": "SELECT id, CASE (row_number() OVER (PARTITION BY league_id ORDER BY id) - 1) % 3 WHEN 0 THEN 'H' WHEN 1 THEN 'D' ELSE 'A' END AS predicted FROM league_matches",
-    "ref_w06_lag_predictor": f"SELECT id, coalesce(CASE lag(r) OVER (PARTITION BY league_id ORDER BY id) WHEN 'H' THEN 'D' WHEN 'D' THEN 'A' WHEN 'A' THEN 'H' END, r) AS predicted FROM (SELECT id, league_id, {HDA} AS r FROM league_matches) x",
-    "ref_w07_pattern_rank": f"SELECT bookmaker, pattern, r FROM (SELECT bookmaker, pattern, row_number() OVER (PARTITION BY bookmaker ORDER BY purity DESC, total DESC, pattern) AS r FROM ({patterns('substring(code, 1, 4)', 3, 0.0)}) p) x WHERE r <= 20",
-    "ref_w09_keep_last": f"SELECT id, match_id, final_score FROM {LATEST} l",
-    # orders and limits (limits are the feature here)
-    "ref_t01_latest_odds": "SELECT lm.match_id, bo.bookmaker_name, bo.id FROM league_matches lm JOIN betting_odds bo ON lm.match_id = bo.schedule_id ORDER BY lm.created_at DESC, bo.bookmaker_name, bo.id, lm.id LIMIT 100",
-    "ref_t04_multi_key": f"SELECT bookmaker, pattern, total, round(purity, 6) AS purity FROM ({patterns('substring(code, 1, 4)', 3, 0.0)}) p ORDER BY p.purity DESC, total DESC, bookmaker, pattern LIMIT 20",
-    "ref_t06_limit": "SELECT match_id, id FROM league_matches ORDER BY match_id, id LIMIT 100",
-    "ref_t07_dynamic_order": "SELECT id, final_win FROM betting_odds WHERE final_win IS NOT NULL ORDER BY final_win DESC, id LIMIT 50",
-    "ref_t10_numeric_order": "SELECT season, id FROM league_matches WHERE season IS NOT NULL ORDER BY CAST(substring(season, 1, 4) AS INT), id LIMIT 20",
-    # sets
-    "ref_u01_union_all": "SELECT id, schedule_id FROM betting_odds WHERE final_win BETWEEN 1.8 AND 2.0 UNION ALL SELECT id, schedule_id FROM betting_odds WHERE init_win BETWEEN 1.8 AND 2.0",
-    "ref_u03_union": "SELECT bookmaker_name AS name FROM betting_odds UNION SELECT bookmaker FROM sax_encoding",
-    "ref_u04_intersect": "SELECT match_id FROM sax_encoding WHERE bookmaker = 'Bet 365' INTERSECT SELECT match_id FROM sax_encoding WHERE bookmaker = 'Easybets'",
-    "ref_u05_except": "SELECT match_id FROM league_matches EXCEPT SELECT match_id FROM total_handicap",
-    # scalar functions
-    "ref_r08_score_goals": "SELECT id, {0} AS home_goals, {1} AS away_goals FROM league_matches".format(*goals("final_score")),
-    "ref_r09_labels": f"SELECT id, {OUTCOME} AS outcome, {HDA} AS hda, {result('final_score', ('胜', '平', '负'), 'NULL')} AS short FROM league_matches",
-    "ref_r14_prefix": "SELECT id, substring(sax_interleaved, 1, 8) AS prefix, sax_interleaved || sax_delta AS code FROM sax_encoding",
-    "ref_m01_implied": "SELECT id, round(CASE WHEN final_win > 0 THEN 1 / CAST(final_win AS DOUBLE) ELSE 0 END, 6) AS p FROM betting_odds",
-    "ref_m02_margin_free": "SELECT id, round(CASE WHEN ok THEN (1 / h) / s ELSE 0 END, 6) AS p_home, round(CASE WHEN ok THEN (1 / d) / s ELSE 0 END, 6) AS p_draw, round(CASE WHEN ok THEN (1 / a) / s ELSE 0 END, 6) AS p_away, round(CASE WHEN ok THEN s END, 6) AS overround FROM (SELECT id, h, d, a, coalesce(h > 0 AND d > 0 AND a > 0, false) AS ok, 1 / nullif(h, 0) + 1 / nullif(d, 0) + 1 / nullif(a, 0) AS s FROM (SELECT id, CAST(final_win AS DOUBLE) AS h, CAST(final_draw AS DOUBLE) AS d, CAST(final_lose AS DOUBLE) AS a FROM betting_odds) x) y",
-    "ref_m05_cover": "SELECT t.id, CASE WHEN h IS NULL OR a IS NULL OR v IS NULL THEN -1 WHEN h - a - v > 0 THEN 1 ELSE 0 END AS cover FROM (SELECT t.id, {0} AS h, {1} AS a, hl.line_value AS v FROM total_handicap t JOIN {2} l ON l.match_id = t.match_id LEFT JOIN handicap_lines hl ON hl.line_name = t.final_handicap) t".format(*goals("l.final_score"), LATEST),
-    "ref_m12_support_threshold": f"SELECT bookmaker, pattern, total, CASE WHEN total >= 50 THEN 0.60 WHEN total >= 20 THEN 0.65 WHEN total >= 10 THEN 0.70 ELSE 0.75 END AS threshold FROM ({patterns('substring(code, 1, 2)', 1, 0.0)}) p",
-}
-# DuckDB writes the anti join differently; the plan is the same
-ORACLE = SQL | {"ref_f15_skip_existing": "SELECT l.id, l.match_id FROM league_matches l WHERE NOT EXISTS (SELECT 1 FROM total_handicap t WHERE t.match_id = l.match_id)"}
-ORACLE["ref_w01_previous_gap"] = SQL["ref_w01_previous_gap"].replace("unix_seconds(CAST(ts AS TIMESTAMP))", "CAST(floor(epoch(ts)) AS BIGINT)")
-
-QUERIES = {name: shared(text) for name, text in SQL.items()}
-SQL = ORACLE
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidegrid.functions import odds
+from tidegrid.operators import patterns as pat
+from tidegrid.operators.upsert import keep_last
+from tidegrid.plans.relational_sql import ORACLE
+from tidegrid.session import table
+
+QUERIES: dict = {}
+SQL: dict[str, str] = ORACLE
+C = F.col
+
+
+def _query(name: str):
+    def add(f):
+        QUERIES[name] = f
+        return f
+
+    return add
+
+
+def _simple(name: str, source: str, build) -> None:
+    """A query over one table."""
+    QUERIES[name] = lambda spark, sf: build(table(spark, sf, source))
+
+
+def latest(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest row of each match (keep-last upsert)."""
+    return keep_last(table(spark, sf, "league_matches"), ["match_id"], [C("created_at").desc(), C("id").desc()])
+
+
+def encoded(spark: SparkSession, sf: str) -> DataFrame:
+    """Encodings with the outcome of their match (malformed and missing scores: NULL)."""
+    scores = latest(spark, sf).select("match_id", "final_score")
+    rows = table(spark, sf, "sax_encoding").select("id", "bookmaker", "match_id", C("sax_interleaved").alias("code")).join(scores, "match_id")
+    return rows.withColumn("outcome", odds.outcome(C("final_score"), strict=False))
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    return encoded(spark, sf).where("outcome is not null and code <> ''")
+
+
+def _library(spark: SparkSession, sf: str, length: int, support: int, purity: float) -> DataFrame:
+    return pat.pattern_stats(scored(spark, sf).withColumn("pattern", F.substring("code", 1, length)), ["bookmaker"], "pattern", "outcome", support, purity)
+
+
+def _looked_up(spark: SparkSession, sf: str, support: int, purity: float, how: str) -> DataFrame:
+    """Scored encodings with what the library of three-letter patterns says of them."""
+    lib = _library(spark, sf, 3, support, purity).select("bookmaker", "pattern", "dominant", C("purity").alias("lib_purity"))
+    return scored(spark, sf).withColumn("pattern", F.substring("code", 1, 3)).join(lib, ["bookmaker", "pattern"], how)
+
+
+def _view_result(score: Column) -> Column:
+    return odds.outcome(score, ("主胜", "平局", "客胜"), malformed="平局", missing="平局", strict=False)
+
+
+def _hda(score: Column) -> Column:
+    return odds.outcome(score, ("H", "D", "A"), malformed="D", missing="D", strict=False)
+
+
+def _prices(df: DataFrame) -> list[Column]:
+    return [C(c).cast("double") for c in ("final_win", "final_draw", "final_lose")]
+
+
+# ---- projections
+
+_simple("ref_p01_view_projection", "betting_odds", lambda d: d.select(C("schedule_id").alias("match_id"), C("bookmaker_name").alias("bookmaker"), "final_win", "final_draw", "final_lose"))
+_simple("ref_p02_result_case", "league_matches", lambda d: d.select("match_id", "final_score", _view_result(C("final_score")).alias("result")))
+_simple("ref_p03_canonical_key", "total_handicap", lambda d: d.select("id", "match_id", odds.canonical_bookmaker(C("bookmaker")).alias("bookmaker")))
+_simple("ref_p04_alias", "total_handicap", lambda d: d.select("id", odds.bookmaker_alias(C("bookmaker")).alias("bookmaker")))
+_simple("ref_p05_slug", "betting_odds", lambda d: d.select("id", odds.slug(C("bookmaker_name")).alias("slug")))
+_simple("ref_p06_upload_record", "sax_encoding", lambda d: d.where(odds.any_code(C("sax_interleaved"), C("sax_delta"))).select("bookmaker", "match_id", "season", "sax_interleaved", "sax_delta", "home_mean", "draw_mean", "away_mean", "running_odds_count"))
+_simple("ref_p08_defaults", "league_matches", lambda d: d.select("id", F.coalesce(F.nullif("league_id", F.lit(0)), F.lit(-1)).alias("league_id"), odds.team_name(C("home_team_name"), C("home_team_id")).alias("home_team_name")))
+
+# ---- filters
+
+_simple("ref_f01_equality", "betting_odds", lambda d: d.where(C("bookmaker_name") == "Bet 365").select("id", "schedule_id", "final_win"))
+_simple("ref_f02_price_range", "betting_odds", lambda d: d.where(C("final_win").between(F.lit("1.80").cast("decimal(5,2)"), F.lit("2.20").cast("decimal(5,2)"))).select("id", "schedule_id", "final_win"))
+_simple("ref_f03_not_null", "league_matches", lambda d: d.where(C("final_score").isNotNull()).select("id", "match_id", "final_score"))
+_simple("ref_f04_whitelist", "betting_odds", lambda d: d.where(C("bookmaker_name").isin(odds.WHITELIST)).select("id", "bookmaker_name"))
+_simple("ref_f05_valid_prices", "betting_odds", lambda d: d.where(reduce(lambda a, b: a & b, [p > 0 for p in _prices(d)])).select("id", "final_win", "final_draw", "final_lose"))
+_simple("ref_f06_min_length", "events", lambda d: d.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2"))
+_simple("ref_f10_nonempty_code", "sax_encoding", lambda d: d.where(odds.any_code(C("sax_interleaved"))).select("id", "sax_interleaved"))
+_simple("ref_f17_minute_dedupe", "events", lambda d: d.groupBy("user_id", F.date_trunc("minute", "ts").alias("minute")).agg(F.min("event_id").alias("first_event")))
+
+
+@_query("ref_f07_all_valid")
+def f07(spark: SparkSession, sf: str) -> DataFrame:
+    bad = F.count_if(reduce(lambda a, b: a | b, [C(c).isNull() for c in ("final_win", "final_draw", "final_lose")]))
+    rows = table(spark, sf, "betting_odds").where("schedule_id is not null").groupBy("schedule_id").agg(F.count(F.lit(1)).alias("n_rows"), bad.alias("n_bad"))
+    return rows.withColumn("used", (C("n_bad") == 0).cast("int"))
+
+
+@_query("ref_f11_min_support")
+def f11(spark: SparkSession, sf: str) -> DataFrame:
+    return encoded(spark, sf).groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+
+
+@_query("ref_f12_purity")
+def f12(spark: SparkSession, sf: str) -> DataFrame:
+    found = pat.pattern_stats(scored(spark, sf).withColumnRenamed("code", "pattern"), ["bookmaker"], "pattern", "outcome", 3, 0.65)
+    return found.select("bookmaker", "pattern", "total", F.round("purity", 6).alias("purity"))
+
+
+def _lines(spark: SparkSession, sf: str, name: str, value: str) -> DataFrame:
+    return F.broadcast(table(spark, sf, "handicap_lines").select(C("line_name").alias(name), C("line_value").alias(value)))  # 29 rows, fixed
+
+
+@_query("ref_f14_line_present")
+def f14(spark: SparkSession, sf: str) -> DataFrame:
+    """The training filter: a line that is neither unknown nor level, and a score."""
+    with_score = latest(spark, sf).where("final_score is not null").select("match_id")
+    rows = table(spark, sf, "total_handicap").select("id", "match_id", "handicap").join(_lines(spark, sf, "handicap", "line_value"), "handicap").where("line_value <> 0")
+    return rows.join(with_score, "match_id", "left_semi").select("id", "line_value")
+
+
+@_query("ref_f15_skip_existing")
+def f15(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "league_matches").select("id", "match_id").join(table(spark, sf, "total_handicap").select("match_id"), "match_id", "left_anti").select("id", "match_id")
+
+
+@_query("ref_f16_predicate_text")
+def f16(spark: SparkSession, sf: str) -> DataFrame:
+    """A predicate typed as text: only its known parts are taken, as a real filter and order."""
+    text = "select * from betting_odds where bookmaker_name = 'Bet 365' and final_win between 1.5 and 1.9 order by final_win desc"
+    return pat.typed_query(table(spark, sf, "betting_odds"), text, ["final_win", "final_draw", "final_lose"], tie="id", limit=100).select("id", "bookmaker_name", "final_win")
+
+
+# ---- joins
+
+
+@_query("ref_j01_matches_odds")
+def j01(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "betting_odds").select(C("schedule_id").alias("match_id"), "bookmaker_name", "final_win", "final_draw", "final_lose")
+    m = table(spark, sf, "league_matches").select("match_id", "league_name", "season", "final_score")
+    return m.join(o, "match_id").select("match_id", "league_name", "season", "bookmaker_name", "final_win", "final_draw", "final_lose", "final_score", _view_result(C("final_score")).alias("result"))
+
+
+def _odds_encoding(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "betting_odds").select(C("schedule_id").alias("match_id"), C("bookmaker_name").alias("bookmaker"), "final_win")
+    s = table(spark, sf, "sax_encoding").select("id", "match_id", "bookmaker", "sax_interleaved", "sax_delta")
+    return o.join(s, ["match_id", "bookmaker"])
+
+
+@_query("ref_j02_odds_encoding")
+def j02(spark: SparkSession, sf: str) -> DataFrame:
+    return _odds_encoding(spark, sf).select(C("match_id").alias("schedule_id"), C("bookmaker").alias("bookmaker_name"), "final_win", "sax_interleaved", "sax_delta")
+
+
+@_query("ref_j03_encoding_results")
+def j03(spark: SparkSession, sf: str) -> DataFrame:
+    return _odds_encoding(spark, sf).join(table(spark, sf, "league_matches").select("match_id", "final_score"), "match_id", "left").select("id", "bookmaker", "match_id", "sax_interleaved", "final_win", "final_score")
+
+
+@_query("ref_j04_encoding_handicap")
+def j04(spark: SparkSession, sf: str) -> DataFrame:
+    """The four-way view: prices and encodings with results and, under the canonical bookmaker, lines."""
+    m = table(spark, sf, "league_matches").select("match_id", "final_score")
+    h = table(spark, sf, "total_handicap").select("match_id", odds.canonical_bookmaker(C("bookmaker")).alias("bookmaker"), C("handicap").alias("init_handicap"), "final_handicap", "init_odds_home", "final_odds_home")
+    return _odds_encoding(spark, sf).join(m, "match_id", "left").join(h, ["match_id", "bookmaker"], "left").drop("sax_delta")
+
+
+@_query("ref_j05_attach_score")
+def j05(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "sax_encoding").select("id", "match_id").join(latest(spark, sf).select("match_id", "final_score"), "match_id", "left").select("id", "match_id", "final_score")
+
+
+@_query("ref_j06_common_matches")
+def j06(spark: SparkSession, sf: str) -> DataFrame:
+    def one(bookmaker: str, name: str) -> DataFrame:
+        return table(spark, sf, "sax_encoding").where((C("bookmaker") == bookmaker) & C("match_id").isNotNull()).groupBy("match_id").agg(F.min("sax_interleaved").alias(name))
+
+    return one("Bet 365", "code_a").join(one("Easybets", "code_b"), "match_id")
+
+
+@_query("ref_j07_library_lookup")
+def j07(spark: SparkSession, sf: str) -> DataFrame:
+    return _looked_up(spark, sf, 5, 0.5, "left").select("id", C("dominant").alias("prediction"), "outcome")
+
+
+@_query("ref_j10_team_names")
+def j10(spark: SparkSession, sf: str) -> DataFrame:
+    m = table(spark, sf, "league_matches")
+    names = m.where("home_team_name is not null").groupBy("home_team_id").agg(F.max_by("home_team_name", F.struct("created_at", "id")).alias("name"))
+    return m.select("id", "home_team_id").join(names, "home_team_id", "left").select("id", odds.team_name(C("name"), C("home_team_id")).alias("home_name"))
+
+
+@_query("ref_j15_sources_by_id")
+def j15(spark: SparkSession, sf: str) -> DataFrame:
+    """One pass over the keys of the three sources instead of a join for each."""
+    tagged = [table(spark, sf, name).select(C(key).alias("match_id"), F.lit(name).alias("src")) for name, key in (("league_matches", "match_id"), ("match_odds", "schedule_id"), ("total_handicap", "match_id"))]
+    has = lambda name: F.max((C("src") == name).cast("int"))
+    seen = reduce(DataFrame.unionByName, tagged).groupBy("match_id").agg(has("league_matches").alias("listed"), has("match_odds").alias("has_odds"), has("total_handicap").alias("has_handicap"))
+    return seen.where("listed = 1").drop("listed")
+
+
+# ---- aggregates
+
+
+@_query("ref_a01_outcome_rates")
+def a01(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes per bookmaker in a price range; a malformed score counts as lost, as the analyst's tally has it."""
+    o = table(spark, sf, "betting_odds").where(C("final_win").between(1.5, 2.5)).select(C("schedule_id").alias("match_id"), "bookmaker_name")
+    m = table(spark, sf, "league_matches").where("final_score is not null").select("match_id", odds.outcome(C("final_score"), malformed="away", strict=False).alias("r"))
+    t = o.join(m, "match_id").groupBy("bookmaker_name").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(C("r") == r).alias(a) for r, a in (("home", "wins"), ("draw", "draws"), ("away", "losses"))])
+    return t.withColumn("win_pct", odds.percentage(C("wins"), C("total")))
+
+
+@_query("ref_a03_pattern_stats")
+def a03(spark: SparkSession, sf: str) -> DataFrame:
+    return _library(spark, sf, 4, 3, 0.0).select("bookmaker", "pattern", "total", "home", "draw", "away", F.round("purity", 6).alias("purity"), "dominant")
+
+
+@_query("ref_a04_strategy_summary")
+def a04(spark: SparkSession, sf: str) -> DataFrame:
+    s = pat.strategy_summary(_library(spark, sf, 4, 3, 0.0), ["bookmaker"])
+    return s.select("bookmaker", "n_patterns", "supported", *[F.round(c, 6).alias(c) for c in ("top_purity", "top_coverage")], "n_pure", F.round("pure_coverage", 6).alias("pure_coverage"))
+
+
+@_query("ref_a05_coverage_of_all")
+def a05(spark: SparkSession, sf: str) -> DataFrame:
+    ranked = pat.ranked(_library(spark, sf, 4, 3, 0.0), ["bookmaker"], [C("total").desc(), C("purity").desc(), C("pattern")]).where("r <= 20").groupBy("bookmaker").agg(F.sum("total").alias("covered"))
+    n = scored(spark, sf).groupBy("bookmaker").agg(F.count(F.lit(1)).alias("matches"))
+    return ranked.join(n, "bookmaker").select("bookmaker", F.round(C("covered") / C("matches"), 6).alias("coverage"))
+
+
+@_query("ref_a06_two_level_patterns")
+def a06(spark: SparkSession, sf: str) -> DataFrame:
+    """Coarse patterns that are pure enough, and fine ones within the coarse patterns that are not."""
+    rows = scored(spark, sf).withColumn("coarse", F.substring("code", 1, 2)).withColumn("fine", F.substring("code", 1, 4))
+    return pat.two_levels(rows, ["bookmaker"], "coarse", "fine", "outcome", 5, 0.7, 0.65).select("level", "bookmaker", "pattern", "total", F.round("purity", 6).alias("purity"), "dominant")
+
+
+@_query("ref_a07_library_accuracy")
+def a07(spark: SparkSession, sf: str) -> DataFrame:
+    right = F.count_if(C("dominant") == C("outcome"))
+    return _looked_up(spark, sf, 5, 0.45, "left").groupBy("bookmaker").agg(F.count(F.lit(1)).alias("matches"), F.count("dominant").alias("covered"), right.alias("right_ones"), F.count_if(C("lib_purity") >= 0.70).alias("high_confidence"))
+
+
+@_query("ref_a08_fusion")
+def a08(spark: SparkSession, sf: str) -> DataFrame:
+    lib = _library(spark, sf, 3, 5, 0.45).select("bookmaker", "pattern", "dominant")
+    one = scored(spark, sf).groupBy("bookmaker", "match_id").agg(F.min("code").alias("code"), F.min("outcome").alias("outcome")).withColumn("pattern", F.substring("code", 1, 3)).join(lib, ["bookmaker", "pattern"], "left")
+    return pat.fusion(one.where("bookmaker = 'Bet 365'"), one.where("bookmaker = 'Easybets'"), "match_id", "dominant", "outcome")
+
+
+_simple("ref_a09_tallies", "league_matches", lambda d: d.groupBy("league_name", "season").agg(F.count(F.lit(1)).alias("n")))
+
+
+@_query("ref_a10_top_words")
+def a10(spark: SparkSession, sf: str) -> DataFrame:
+    """The five most frequent words per bookmaker; of equally frequent ones those seen first."""
+    words = table(spark, sf, "sax_encoding").where("sax_interleaved is not null").groupBy("bookmaker", C("sax_interleaved").alias("code")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_seen"))
+    return pat.ranked(words, ["bookmaker"], [C("n").desc(), C("first_seen")]).where("r <= 5").select("bookmaker", "code", "n")
+
+
+@_query("ref_a11_profile")
+def a11(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters (here of a bookmaker's words by their first letter): size, most frequent prefixes, mean of the prices that are not 0."""
+    priced = table(spark, sf, "betting_odds").groupBy(C("schedule_id").alias("match_id"), C("bookmaker_name").alias("bookmaker")).agg(*[F.max_by(c, "id").alias(c) for c in ("final_win", "final_draw", "final_lose")])
+    rows = table(spark, sf, "sax_encoding").where("sax_interleaved <> ''").select("id", "bookmaker", "match_id", C("sax_interleaved").alias("code"), F.substring("sax_interleaved", 1, 1).alias("cluster"))
+    return pat.cluster_profile(rows.join(priced, ["match_id", "bookmaker"], "left"), ["bookmaker", "cluster"], "code", ["final_win", "final_draw", "final_lose"], prefix=8, top=5)
+
+
+@_query("ref_a12_prefix_rates")
+def a12(spark: SparkSession, sf: str) -> DataFrame:
+    """Win rates of eight-letter prefixes with ten rows or more; rows without a result count in the total."""
+    return pat.prefix_rates(encoded(spark, sf).where("code is not null"), "code", "outcome", prefix=8, least=10)
+
+
+_simple("ref_a13_series_stats", "events", lambda d: d.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 3).alias("mean"), F.round(F.stddev_pop("value"), 3).alias("dev")))
+_simple("ref_a14_length_percentiles", "events", lambda d: pat.length_percentiles(d.groupBy("user_id").agg(F.count(F.lit(1)).cast("double").alias("n")), [], "n").select("p25", "p50", "p75", "p90", F.round("mean", 6).alias("mean"), C("longest").cast("bigint").alias("longest")))
+_simple("ref_a19_recommendation", "sax_encoding", lambda d: pat.recommended(pat.length_percentiles(d.select("bookmaker", C("running_odds_count").cast("double").alias("n")), ["bookmaker"], "n"), ["bookmaker"]))
+_simple("ref_a21_pooled", "events", lambda d: d.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("dev"), F.min("value").alias("low"), F.max("value").alias("high")))
+
+
+@_query("ref_a24_accuracy")
+def a24(spark: SparkSession, sf: str) -> DataFrame:
+    return _looked_up(spark, sf, 5, 0.0, "inner").groupBy("bookmaker").agg(F.round(F.avg((C("dominant") == C("outcome")).cast("double")), 6).alias("accuracy"))
+
+
+@_query("ref_a25_threshold_accuracy")
+def a25(spark: SparkSession, sf: str) -> DataFrame:
+    """Accuracy of predictions at least so sure; each row counts for every threshold it reaches."""
+    reached = F.explode(F.filter(F.array(*[F.lit(t) for t in (0.3, 0.4, 0.5, 0.6, 0.7)]), lambda t: C("lib_purity") >= t)).alias("threshold")
+    return _looked_up(spark, sf, 3, 0.0, "inner").select(reached, (C("dominant") == C("outcome")).cast("double").alias("hit")).groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 6).alias("accuracy"))
+
+
+_simple("ref_a26_label_tallies", "league_matches", lambda d: d.select(_hda(C("final_score")).alias("r")).agg(*[F.count_if(C("r") == r).alias(r.lower()) for r in "HDA"]))
+_simple("ref_a27_row_count", "betting_odds", lambda d: d.agg(F.count(F.lit(1)).alias("n")))
+
+
+@_query("ref_a28_best_strategy")
+def a28(spark: SparkSession, sf: str) -> DataFrame:
+    """The pattern length whose twenty best patterns are purest, cover most and are most often very pure."""
+    rows = scored(spark, sf).select("outcome", F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.substring("code", 1, n).alias("pattern")) for n in (2, 3, 4, 5)])).alias("s")).select("outcome", "s.*")
+    return pat.best_strategy(pat.strategy_summary(pat.pattern_stats(rows, ["strategy"], "pattern", "outcome", 5, 0.0), ["strategy"]), "strategy")
+
+
+_simple("ref_a29_bookmakers", "betting_odds", lambda d: d.select("bookmaker_name").distinct())
+
+# ---- sequences
+
+
+@_query("ref_w01_previous_gap")
+def w01(spark: SparkSession, sf: str) -> DataFrame:
+    at = F.unix_seconds(C("ts").cast("timestamp"))
+    gap = at - F.lag(at).over(Window.partitionBy("user_id").orderBy(at, "event_id"))
+    return table(spark, sf, "events").select("event_id", F.round(gap / 3600, 6).alias("gap_hours"))
+
+
+@_query("ref_w02_change_runs")
+def w02(spark: SparkSession, sf: str) -> DataFrame:
+    prev = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, sf, "events").select("user_id", (prev.isNotNull() & (prev != C("event_type"))).alias("changed")).groupBy("user_id").agg(F.count_if("changed").alias("changes"))
+
+
+@_query("ref_w05_cycle_predictor")
+def w05(spark: SparkSession, sf: str) -> DataFrame:
+    """H, D, A in turn within each league, however large it is: positions are counted in blocks of ids."""
+    at = pat.position(table(spark, sf, "league_matches").select("id", "league_id"), ["league_id"], "id")
+    return at.select("id", F.element_at(F.array(F.lit("H"), F.lit("D"), F.lit("A")), (F.pmod(C("position"), F.lit(3)) + 1).cast("int")).alias("predicted"))
+
+
+@_query("ref_w06_lag_predictor")
+def w06(spark: SparkSession, sf: str) -> DataFrame:
+    """The label after the previous match's in the league; the first match's own."""
+    rows = pat.previous(table(spark, sf, "league_matches").select("id", "league_id", _hda(C("final_score")).alias("r")), ["league_id"], "id", "r")
+    after = F.when(C("previous") == "H", "D").when(C("previous") == "D", "A").when(C("previous") == "A", "H")
+    return rows.select("id", F.coalesce(after, C("r")).alias("predicted"))
+
+
+@_query("ref_w07_pattern_rank")
+def w07(spark: SparkSession, sf: str) -> DataFrame:
+    return pat.ranked(_library(spark, sf, 4, 3, 0.0), ["bookmaker"], pat.PUREST).where("r <= 20").select("bookmaker", "pattern", "r")
+
+
+QUERIES["ref_w09_keep_last"] = lambda spark, sf: latest(spark, sf).select("id", "match_id", "final_score")
+
+# ---- orders and limits (limits are the feature here)
+
+
+@_query("ref_t01_latest_odds")
+def t01(spark: SparkSession, sf: str) -> DataFrame:
+    m = table(spark, sf, "league_matches").select("match_id", "created_at", C("id").alias("lm_id"))
+    o = table(spark, sf, "betting_odds").select(C("schedule_id").alias("match_id"), "bookmaker_name", "id")
+    return m.join(o, "match_id").orderBy(C("created_at").desc(), "bookmaker_name", "id", "lm_id").limit(100).select("match_id", "bookmaker_name", "id")
+
+
+@_query("ref_t04_multi_key")
+def t04(spark: SparkSession, sf: str) -> DataFrame:
+    found = _library(spark, sf, 4, 3, 0.0).orderBy(C("purity").desc(), C("total").desc(), "bookmaker", "pattern").limit(20)
+    return found.select("bookmaker", "pattern", "total", F.round("purity", 6).alias("purity"))
+
+
+_simple("ref_t06_limit", "league_matches", lambda d: d.select("match_id", "id").orderBy("match_id", "id").limit(100))
+_simple("ref_t07_dynamic_order", "betting_odds", lambda d: d.where("final_win is not null").orderBy(C("final_win").desc(), "id").limit(50).select("id", "final_win"))
+_simple("ref_t10_numeric_order", "league_matches", lambda d: d.where("season is not null").select("season", "id").orderBy(F.substring("season", 1, 4).try_cast("int"), "id").limit(20))
+
+# ---- sets
+
+
+@_query("ref_u01_union_all")
+def u01(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "betting_odds")
+    return o.where(C("final_win").between(1.8, 2.0)).select("id", "schedule_id").unionByName(o.where(C("init_win").between(1.8, 2.0)).select("id", "schedule_id"))
+
+
+@_query("ref_u03_union")
+def u03(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "betting_odds").select(C("bookmaker_name").alias("name")).distinct().union(table(spark, sf, "sax_encoding").select("bookmaker").distinct()).distinct()
+
+
+@_query("ref_u04_intersect")
+def u04(spark: SparkSession, sf: str) -> DataFrame:
+    of = lambda b: table(spark, sf, "sax_encoding").where(C("bookmaker") == b).select("match_id")
+    return of("Bet 365").intersect(of("Easybets"))
+
+
+@_query("ref_u05_except")
+def u05(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "league_matches").select("match_id").subtract(table(spark, sf, "total_handicap").select("match_id"))
+
+
+# ---- scalar functions
+
+_simple("ref_r08_score_goals", "league_matches", lambda d: d.select("id", *[g.alias(a) for g, a in zip(odds.goals(C("final_score"), strict=False), ("home_goals", "away_goals"))]))
+_simple("ref_r09_labels", "league_matches", lambda d: d.select("id", odds.outcome(C("final_score"), strict=False).alias("outcome"), _hda(C("final_score")).alias("hda"), odds.outcome(C("final_score"), ("胜", "平", "负"), strict=False).alias("short")))
+_simple("ref_r14_prefix", "sax_encoding", lambda d: d.select("id", F.substring("sax_interleaved", 1, 8).alias("prefix"), F.concat("sax_interleaved", "sax_delta").alias("code")))
+_simple("ref_m01_implied", "betting_odds", lambda d: d.select("id", F.round(odds.implied(C("final_win").cast("double")), 6).alias("p")))
+_simple("ref_m02_margin_free", "betting_odds", lambda d: d.select("id", *[F.round(p, 6).alias(a) for p, a in zip(odds.margin_free(*_prices(d)), ("p_home", "p_draw", "p_away"))], F.round(odds.overround(*_prices(d)), 6).alias("overround")))
+_simple("ref_m03_two_way", "betting_odds", lambda d: d.select("id", *[F.round(p, 9).alias(a) for p, a in zip(odds.two_way(C("final_win").cast("double"), C("final_lose").cast("double")), ("p_home", "p_away"))]))
+
+
+@_query("ref_m05_cover")
+def m05(spark: SparkSession, sf: str) -> DataFrame:
+    h, a = odds.goals(C("final_score"), strict=False)
+    rows = table(spark, sf, "total_handicap").select("id", "match_id", "final_handicap").join(latest(spark, sf).select("match_id", h.alias("h"), a.alias("a")), "match_id")
+    return rows.join(_lines(spark, sf, "final_handicap", "v"), "final_handicap", "left").select("id", odds.cover(C("h"), C("a"), C("v")).alias("cover"))
+
+
+@_query("ref_m06_rule_prediction")
+def m06(spark: SparkSession, sf: str) -> DataFrame:
+    """Prediction and reasons of each row: by its line's move and water, else by how often the home side won with its opening line."""
+    lines = table(spark, sf, "total_handicap").select("id", "match_id", "handicap", "final_handicap", "init_odds_home", "final_odds_home")
+    lines = lines.join(_lines(spark, sf, "handicap", "iv"), "handicap", "left").join(_lines(spark, sf, "final_handicap", "fv"), "final_handicap", "left")
+    won = lines.select("match_id", "handicap").join(latest(spark, sf).select("match_id", odds.outcome(C("final_score"), strict=False).alias("outcome")).where("outcome is not null"), "match_id")
+    rates = F.broadcast(won.join(_lines(spark, sf, "handicap", "iv"), "handicap").groupBy("iv").agg(F.avg((C("outcome") == "home").cast("double")).alias("rate")))  # a row per listed line
+    direction, water = odds.line_move(C("iv"), C("fv")), odds.water_change(C("init_odds_home").cast("double"), C("final_odds_home").cast("double"))
+    rows = lines.join(rates, "iv", "left").withColumns({"direction": direction, "water": water})
+    return rows.select("id", odds.rule_prediction(C("direction"), C("water"), C("rate")).alias("prediction"), odds.rule_reasons(C("direction"), C("water"), C("rate")).alias("reasons"))
+
+
+@_query("ref_m12_support_threshold")
+def m12(spark: SparkSession, sf: str) -> DataFrame:
+    return _library(spark, sf, 2, 1, 0.0).select("bookmaker", "pattern", "total", odds.support_threshold(C("total")).alias("threshold"))
+
+
+@_query("ref_x23_truncated_match")
+def x23(spark: SparkSession, sf: str) -> DataFrame:
+    """What the library says of a code by its longest known prefix of four, three or two letters."""
+    found = scored(spark, sf)
+    for n in (4, 3, 2):
+        found = found.withColumn(f"pattern{n}", F.substring("code", 1, n)).join(_library(spark, sf, n, 5, 0.5).select("bookmaker", C("pattern").alias(f"pattern{n}"), C("dominant").alias(f"says{n}")), ["bookmaker", f"pattern{n}"], "left")
+    return found.select("id", F.coalesce("says4", "says3", "says2").alias("prediction"), F.when(C("says4").isNotNull(), 4).when(C("says3").isNotNull(), 3).when(C("says2").isNotNull(), 2).alias("letters"))
+
+
+@_query("ref_x24_majority_vote")
+def x24(spark: SparkSession, sf: str) -> DataFrame:
+    """The outcome that most bookmakers' libraries predict for a match (ties: home, draw, away), if at least two do so."""
+    said = _looked_up(spark, sf, 5, 0.45, "inner").groupBy("match_id", "bookmaker").agg(F.min("dominant").alias("says"))
+    votes = said.groupBy("match_id").agg(*[F.count_if(C("says") == o).alias(o) for o in ("home", "draw", "away")])
+    return votes.where(F.greatest("home", "draw", "away") >= 2).select("match_id", pat.dominant().alias("prediction"), F.greatest("home", "draw", "away").alias("votes"))

@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.odds import leading_number
 
-WHITELIST = ["William Hill", "Bet 365", "Easybets", "Lottery Official", "Macauslot"]
-#: Positions of the prices in an entry of ``game``.
+# Positions of the prices in an entry of ``game``.
 PRICE_AT = {"init_win": 3, "init_draw": 4, "init_lose": 5, "init_return": 9, "final_win": 10, "final_draw": 11, "final_lose": 12, "final_return": 16, "kelly_win": 17, "kelly_draw": 18, "kelly_lose": 19}
 
 
