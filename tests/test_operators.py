@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tidegrid.functions import series
-from tidegrid.operators import asof, grid, orphans, skew, spikes
+from tidegrid.operators import asof, grid, orphans, profile, skew, spikes
 from pyspark.sql import functions as F
 
 
@@ -122,6 +122,17 @@ def test_sketches_merge_exactly():
     assert (whole == parts).all()
 
 
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(9)
+    data = [("a", float(v)) for v in rng.normal(size=501)] + [("b", 1.0)] * 300 + [("b", 2.0), ("b", 5.0)] + [("c", 3.5), ("c", None), ("d", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    qs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = {r["k"]: r["quantiles"] for r in profile.exact_quantiles(profile.value_counts(df, ["k"], "v"), ["k"], "v", qs, slices=8).collect()}
+    assert got.keys() == {"a", "b", "c"}
+    for k, q in got.items():
+        assert q == pytest.approx(np.quantile([v for kk, v in data if kk == k and v is not None], qs).tolist())
+
+
 def test_asof_across_blocks(spark):
     rng = random.Random(5)
     left = [(i, rng.choice("ab"), rng.randrange(5000)) for i in range(200)]
@@ -139,10 +150,18 @@ def test_band_join_misses_nothing(spark):
     rng = random.Random(2)
     xs = [(i, "k", round(math.exp(rng.uniform(0, 3)), 3)) for i in range(300)]
     df = spark.createDataFrame(xs, "id int, k string, p double")
-    got = {(r["t"], r["id"]) for r in asof.band_join(df.select(F.col("id").alias("t"), "k", F.col("p").alias("q")), df, ["k"], "q", "p", 5.0).collect()}
+    got = {(r["t"], r["id"]) for r in asof.band_join(df.select(F.col("id").alias("t"), "k", F.col("p").alias("q")), df, ["k"], [("q", "p")], 5.0).collect()}
     assert got == {(t, i) for t, _, q in xs for i, _, p in xs if abs(p - q) <= q * 0.05}
 
 
+def test_salted_join_is_the_join(spark):
+    many = spark.range(4000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") < 20, None).otherwise(F.col("id") % 50).alias("k"), "id")
+    few = spark.createDataFrame([(7, "a"), (7, "b"), (8, "c"), (None, "d")], "k long, v string")
+    key = lambda df: sorted(map(str, df.select("k", "id", "v").collect()))
+    assert key(skew.salted_join(many, few, ["k"], salts=4)) == key(many.join(few, "k"))
+    assert skew.salted_join(many.limit(0), few, ["k"]).count() == 0
+
+
 def np_sax(x, w, bps, length):
     def paa(v, t):
         n = len(v)

@@ -188,3 +188,31 @@ def mindist(a: Column, b: Column, word: int | Column, k: int | Column, variant:
 
     cost = F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), F.lit(0.0), lambda s, i: s + F.coalesce(F.get(table, letter(a, i) * k + letter(b, i)), F.lit(0.0)))
     return F.when(a.isNull() | b.isNull() | (m <= 0), F.lit(float("inf"))).otherwise(F.sqrt(cost / word))
+
+
+def sax_free(x: Column, word: int, breakpoints: list[float]) -> Column:
+    """A word without a fixed length: normalised, segment means, letters; a series shorter than the word is first brought to twice its length."""
+    return let(x, lambda x: F.when(F.size(x) < 2, F.lit("a" * word)).otherwise(symbols(paa(zscore(F.when(F.size(x) < word, upsample(x, 2 * word)).otherwise(x)), word), breakpoints)))
+
+
+#: Points of a series in the batch encoding.
+BATCH = 20
+
+
+def batch_resample(x: Column, points: int = BATCH) -> Column:
+    """``points`` picked values, normalised (indices repeat in a shorter series); empty for fewer than two values."""
+    return let(x, lambda x: F.when(F.size(x) < 2, F.array().cast("array<double>")).otherwise(zscore(gather(x, points))))
+
+
+def batch_words(h: Column, d: Column, a: Column, word: int, breakpoints: list[float], joint_only: bool = False) -> dict[str, Column]:
+    """The batch codes of three raw series: one word each, the interleaved word, and the difference's (NULL with ``joint_only``)."""
+    h, d, a = (batch_resample(x) for x in (h, d, a))
+    one = {f"sax_{n}": sax_pick(x, word, breakpoints, BATCH) for n, x in (("home", h), ("draw", d), ("away", a))}
+    difference = F.lit(None).cast("string") if joint_only else sax_pick(delta(h, a), word, breakpoints, BATCH)
+    return one | {"sax_interleaved": sax_pick(interleave(h, d, a), word, breakpoints, 3 * BATCH), "sax_delta": difference}
+
+
+def mean_dev(x: Column) -> tuple[Column, Column]:
+    """Mean and population deviation of a raw series, rounded to 3 places."""
+    mean = total(x) / F.size(x)
+    return F.round(mean, 3), F.round(F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.size(x)), 3)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.operators.skew import salted_join
+
 
 def asof_backward(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, block_seconds: int = 86400 * 7) -> DataFrame:
     """``left`` with the value of the last ``right`` row of the same key strictly before it, NULL if there is none.
@@ -32,20 +34,28 @@ def band_width(pct: float) -> float:
     return -math.log(1 - pct / 100)
 
 
-def band_join(targets: DataFrame, items: DataFrame, keys: list[str], target_price: str, item_price: str, pct: float) -> DataFrame:
-    """Pairs of equal keys whose item price lies within ``pct`` percent of the target's, bounds included.
+def band_join(targets: DataFrame, items: DataFrame, keys: list[str], prices: list[tuple[str, str]], pct: float) -> DataFrame:
+    """Pairs of equal keys of which each item price lies within ``pct`` percent of the target's, bounds included.
 
-    An equi-join on log-price buckets, each target standing in its own and both neighbouring ones; then the exact band.
-    Missing and non-positive prices match nothing.
+    ``prices``: (target column, item column) each. An equi-join on the log-price buckets of up to three of them, each target
+    standing in its own and the neighbouring ones; then the exact bands. Hot buckets are spread (``skew``). Missing and
+    non-positive prices match nothing.
     """
     width = band_width(pct)
-
-    def bucket(p: Column) -> Column:
-        return F.floor(F.ln(p) / width)
-
-    t = targets.where(F.col(target_price) > 0).withColumn("bucket", F.explode(F.array(*[bucket(F.col(target_price)) + i for i in (-1, 0, 1)])))
-    i = items.where(F.col(item_price) > 0).withColumn("bucket", bucket(F.col(item_price)))
-    return t.join(i, [*keys, "bucket"]).where(F.abs(F.col(item_price) - F.col(target_price)) <= F.col(target_price) * F.lit(pct / 100)).drop("bucket")
+    buckets = [f"bucket_{i}" for i in range(min(len(prices), 3))]
+
+    def bucket(p: str) -> Column:
+        return F.floor(F.ln(F.col(p)) / width)
+
+    t = targets.where(" and ".join(f"{a} > 0" for a, _ in prices))
+    i = items.where(" and ".join(f"{b} > 0" for _, b in prices))
+    for name, (a, b) in zip(buckets, prices, strict=False):
+        t = t.withColumn(name, F.explode(F.array(*[bucket(a) + d for d in (-1, 0, 1)])))
+        i = i.withColumn(name, bucket(b))
+    met = salted_join(i, t, [*keys, *buckets])
+    for a, b in prices:
+        met = met.where(F.abs(F.col(b) - F.col(a)) <= F.col(a) * F.lit(pct / 100))
+    return met.drop(*buckets)
 
 
 def hamming_one(left: DataFrame, right: DataFrame, left_code: str, right_code: str) -> DataFrame:

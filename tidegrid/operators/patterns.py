@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from tidegrid.functions.odds import ratio
 
 C = F.col
-#: Order of the purest patterns first.
-PUREST = [C("purity").desc(), C("total").desc(), C("pattern")]
+
+
+
+def purest() -> list[Column]:
+    """Order of the purest patterns first."""
+    return [C("purity").desc(), C("total").desc(), C("pattern")]
 
 
 def dominant(home: str = "home", draw: str = "draw", away: str = "away") -> Column:
@@ -33,7 +37,7 @@ def ranked(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def strategy_summary(stats: DataFrame, keys: list[str], top: int = 20, pure: float = 0.7) -> DataFrame:
     """Of the supported patterns: their number and rows, mean purity and coverage of the ``top`` purest, number and coverage of pure ones."""
     first = C("r") <= top
-    s = ranked(stats, keys, PUREST).groupBy(*keys).agg(
+    s = ranked(stats, keys, purest()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_patterns"), F.sum("total").alias("supported"), F.avg(F.when(first, C("purity"))).alias("top_purity"), F.sum(F.when(first, C("total")).otherwise(0)).alias("top_total"),
         F.count_if(C("purity") >= pure).alias("n_pure"), F.sum(F.when(C("purity") >= pure, C("total")).otherwise(0)).alias("pure_total"),
     )

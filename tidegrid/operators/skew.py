@@ -38,3 +38,17 @@ def join_unique(rows: DataFrame, unique: DataFrame, keys: list[str], how: str =
     is_hot = reduce(lambda a, b: a | b, [one(h) for h in hot])
     few = unique.where(is_hot)
     return rows.where(~is_hot).join(unique.where(~is_hot), keys, how).unionByName(rows.where(is_hot).join(F.broadcast(few), keys, how))
+
+
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], salts: int = 16, share: float = HOT_SHARE) -> DataFrame:
+    """Inner equi-join in which a hot key of ``many`` is spread over ``salts`` tasks, where the rows of ``few`` are repeated.
+
+    Rows of ``many`` are spread by a hash of all their columns. NULL keys match nothing.
+    """
+    hot = hot_keys(many, keys, share)
+    if not hot:
+        return many.join(few, keys)
+    is_hot = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, key, strict=True)]) for key in hot])
+    left = many.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(*many.columns), F.lit(salts))).otherwise(0).cast("int"))
+    right = few.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*keys, "salt"]).drop("salt")

@@ -342,7 +342,7 @@ def w06(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("ref_w07_pattern_rank")
 def w07(spark: SparkSession, sf: str) -> DataFrame:
-    return pat.ranked(_library(spark, sf, 4, 3, 0.0), ["bookmaker"], pat.PUREST).where("r <= 20").select("bookmaker", "pattern", "r")
+    return pat.ranked(_library(spark, sf, 4, 3, 0.0), ["bookmaker"], pat.purest()).where("r <= 20").select("bookmaker", "pattern", "r")
 
 
 QUERIES["ref_w09_keep_last"] = lambda spark, sf: latest(spark, sf).select("id", "match_id", "final_score")
