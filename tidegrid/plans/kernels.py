@@ -239,17 +239,15 @@ MODES = {"init": _INIT, "final": _FINAL, "both": _FINAL + _INIT, "mean": ("home_
 _PRICED = "SELECT s.id, s.bookmaker, s.match_id, s.sax_interleaved AS ci, s.sax_delta AS cd, " + ", ".join(f"CAST(b.{c} AS DOUBLE) AS {c}" for c in _INIT + _FINAL) + ", " + ", ".join(f"CAST(s.{c} AS DOUBLE) AS {c}" for c in MODES["mean"]) + " FROM sax_encoding s JOIN (SELECT * FROM betting_odds QUALIFY row_number() OVER (PARTITION BY schedule_id, bookmaker_name ORDER BY id DESC) = 1) b ON b.schedule_id = s.match_id AND b.bookmaker_name = s.bookmaker WHERE s.sax_interleaved <> ''"
 
 
-def _priced(spark: SparkSession, sf: str) -> DataFrame:
+def _priced(spark: SparkSession, sf: str, mode: str) -> DataFrame:
+    """Encodings with the prices of the mode: means of their own, others of the bookmaker's latest row for the match."""
+    of_rows, of_means = ([F.col(c).cast("double").alias(c) for c in MODES[mode]], []) if mode != "mean" else ([F.lit(1).alias("there")], [F.col(c).cast("double").alias(c) for c in MODES[mode]])
     b = table(spark, sf, "betting_odds").where("schedule_id is not null")
-    last = b.groupBy(F.col("schedule_id").alias("match_id"), F.col("bookmaker_name").alias("bookmaker")).agg(F.max_by(F.struct(*[F.col(c).cast("double").alias(c) for c in _INIT + _FINAL]), "id").alias("p"))
-    s = table(spark, sf, "sax_encoding").where("sax_interleaved <> ''").select("id", "bookmaker", "match_id", F.col("sax_interleaved").alias("ci"), F.col("sax_delta").alias("cd"), *[F.col(c).cast("double").alias(c) if c in _columns(spark, sf) else F.lit(None).cast("double").alias(c) for c in MODES["mean"]])
+    last = b.groupBy(F.col("schedule_id").alias("match_id"), F.col("bookmaker_name").alias("bookmaker")).agg(F.max_by(F.struct(*of_rows), "id").alias("p"))
+    s = table(spark, sf, "sax_encoding").where("sax_interleaved <> ''").select("id", "bookmaker", "match_id", F.col("sax_interleaved").alias("ci"), F.col("sax_delta").alias("cd"), *of_means)
     return s.join(last, ["match_id", "bookmaker"]).select(*s.columns, "p.*")
 
 
-def _columns(spark: SparkSession, sf: str) -> list[str]:
-    return table(spark, sf, "sax_encoding").columns
-
-
 def _word_settings(spark: SparkSession, sf: str) -> DataFrame:
     """Word lengths and alphabet of each bookmaker, as all its stored words have them; the cost tables go from 3 to 8 letters."""
     ci, cd = F.col("sax_interleaved"), F.col("sax_delta")
@@ -269,7 +267,7 @@ def _search(spark: SparkSession, sf: str, mode: str = "final", pct: float = 5.0,
 
     The bands are an equi-join on log-price buckets; the top is taken by rank, which Spark limits before the shuffle.
     """
-    rows = _priced(spark, sf)
+    rows = _priced(spark, sf, mode)
     if handicap:
         words = handicap_words(spark, sf).groupBy("match_id", "bookmaker").agg(F.max_by(F.struct("hc.sax_home", "hc.sax_away", "hc.sax_diff"), "id").alias("hc"))
         rows = rows.join(words, ["match_id", "bookmaker"], "left")
