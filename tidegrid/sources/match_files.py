@@ -19,11 +19,16 @@ from tidegrid.functions.odds import leading_number
 PRICE_AT = {"init_win": 3, "init_draw": 4, "init_lose": 5, "init_return": 9, "final_win": 10, "final_draw": 11, "final_lose": 12, "final_return": 16, "kelly_win": 17, "kelly_draw": 18, "kelly_lose": 19}
 
 
-def read_scripts(spark: SparkSession, path: str, pattern: str = "*.js") -> DataFrame:
-    """All files under ``path`` whose name fits, one row each: file, text, and league and season as its folders say."""
+def read_scripts(spark: SparkSession, path: str, pattern: str = "*.js", league: str | None = None, season: str | None = None, folders: bool = False) -> DataFrame:
+    """All files under ``path`` whose name fits, one row each: file, text, file_id, and league and season (its first year) as
+    its folders say. ``folders``: only files that lie in a season's folder (``2024`` or ``2024-2025``) of a league's folder."""
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     file = F.col("_metadata.file_path")
-    return df.select(file.alias("file"), F.col("value").alias("text"), F.regexp_extract(file, r"(\d{4})(?:-\d{4})?[\\/]", 1).alias("season"), F.regexp_extract(file, r"(\d+)\.\w+$", 1).try_cast("bigint").alias("file_id"))
+    of = F.regexp_extract(file, r"([^\\/]+)[\\/]\d{4}(?:-\d{4})?[\\/][^\\/]+$", 1)
+    df = df.select(file.alias("file"), F.col("value").alias("text"), F.nullif(of, F.lit("")).alias("league"), F.nullif(F.regexp_extract(file, r"(\d{4})(?:-\d{4})?[\\/][^\\/]+$", 1), F.lit("")).alias("season"), F.regexp_extract(file, r"(\d+)\.\w+$", 1).try_cast("bigint").alias("file_id"))
+    for column, wanted in (("league", league), ("season", season)):
+        df = df.where(F.col(column) == wanted) if wanted else df
+    return df.where("league is not null and season is not null") if folders else df
 
 
 def variable(text: Column, name: str) -> Column:
@@ -45,8 +50,9 @@ def betting_odds(scripts: DataFrame, only: list[str] | None = None) -> DataFrame
     return rows.where(F.col("bookmaker_name").isin(only)) if only else rows
 
 
-def trajectories(scripts: DataFrame) -> DataFrame:
-    """One row per record of each bookmaker's history (``gameDetail``), joined to its entry by the internal id in the script.
+def trajectories(scripts: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """One row per record of each bookmaker's history (``gameDetail``), joined to its entry by the internal id in the script;
+    of the bookmakers ``only``, if given.
 
     The look-up stays within the row of the script, so nothing is shuffled.
     """
@@ -54,11 +60,47 @@ def trajectories(scripts: DataFrame) -> DataFrame:
     rows = scripts.select(variable(F.col("text"), "ScheduleID").try_cast("bigint").alias("schedule_id"), game.alias("game"), F.explode(entries(F.col("text"), "gameDetail")).alias("d"))
     rows = rows.withColumn("internal_id", F.get(F.split("d", r"\^"), F.lit(0)))
     name = F.get(F.get(F.filter("game", lambda e: F.get(e, F.lit(1)) == F.col("internal_id")), F.lit(0)), F.lit(2))
-    rows = rows.select("schedule_id", "internal_id", name.alias("bookmaker_name"), F.posexplode(F.filter(F.split(F.get(F.split("d", r"\^"), F.lit(1)), ";"), lambda r: r != "")).alias("seq", "r"))
+    rows = rows.withColumn("bookmaker_name", name)
+    rows = rows.where(F.col("bookmaker_name").isin(only)) if only else rows
+    rows = rows.select("schedule_id", "internal_id", "bookmaker_name", F.posexplode(F.filter(F.split(F.get(F.split("d", r"\^"), F.lit(1)), ";"), lambda r: r != "")).alias("seq", "r"))
     f = F.split("r", r"\|")
     return rows.select("schedule_id", "internal_id", "bookmaker_name", "seq", *[F.get(f, F.lit(i)).alias(c) for i, c in enumerate(("home", "draw", "away", "time", "return_home", "return_draw", "return_away", "year"))])
 
 
+def nested_matches(scripts: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """One nested record per match script: its names and time, and its bookmakers with opening and closing prices and the
+    trajectory, in the layout of ``match_odds.payload``. Everything stays within the script's row."""
+    text = F.col("text")
+    keys = ("home", "draw", "away", "time", "return_home", "return_draw", "return_away", "year")
+
+    def reading(r: Column) -> Column:
+        f = F.split(r, r"\|")
+        at = {k: F.get(f, F.lit(i)) for i, k in enumerate(keys)}
+        rates = F.struct(*[at[f"return_{k}"].alias(k) for k in keys[:3]]).alias("returnRate")
+        return F.struct(*[at[k].alias(k) for k in keys[:4]], rates, at["year"].alias("year"))
+
+    details = entries(text, "gameDetail")
+
+    def entry(e: Column) -> Column:
+        f = F.split(e, r"\|")
+        own = F.get(F.filter(details, lambda d: F.substring_index(d, "^", 1) == F.get(f, F.lit(1))), F.lit(0))
+        history = F.filter(F.split(F.coalesce(F.get(F.split(own, r"\^"), F.lit(1)), F.lit("")), ";"), lambda r: r != "")
+        prices = lambda at: F.struct(*[F.get(f, F.lit(at + i)).alias(k) for i, k in enumerate(keys[:3])])
+        return F.struct(F.get(f, F.lit(0)).alias("bookmakerId"), F.get(f, F.lit(1)).alias("internalId"), F.get(f, F.lit(2)).alias("bookmakerName"), prices(3).alias("initialOdds"), prices(10).alias("finalOdds"), F.transform(history, reading).alias("runningOdds"))
+
+    made = F.transform(F.filter(entries(text, "game"), lambda e: F.size(F.split(e, r"\|")) >= 14), entry)
+    kept = F.filter(made, lambda e: e["bookmakerName"].isin(only)) if only else made
+    return scripts.select(variable(text, "ScheduleID").try_cast("bigint").alias("scheduleId"), variable(text, "hometeam").alias("hometeam"), variable(text, "guestteam").alias("guestteam"), variable(text, "MatchTime").alias("matchTime"), "season", kept.alias("bookmakers"))
+
+
+def opening_prices(scripts: DataFrame, bookmaker_id: int = 281) -> DataFrame:
+    """The light scan for training: ids, teams and one bookmaker's opening prices; scripts without that bookmaker give no row."""
+    text = F.col("text")
+    entry = F.split(F.regexp_extract(text, rf'"({bookmaker_id}\|[^"]*)"', 1), r"\|")
+    rows = scripts.select(variable(text, "ScheduleID").try_cast("bigint").alias("match_id"), variable(text, "hometeam").alias("home_team"), variable(text, "guestteam").alias("away_team"), *[F.get(entry, F.lit(i)).try_cast("double").alias(c) for i, c in ((3, "eu_home"), (4, "eu_draw"), (5, "eu_away"))], F.size(entry).alias("n"))
+    return rows.where("match_id is not null and n >= 6").drop("n")
+
+
 def league_matches(scripts: DataFrame) -> DataFrame:
     """Rows of the rounds ``jh["R_n"]`` of league scripts, with team names by id (of a repeated id the last name)."""
     fixed = F.replace(F.col("text"), F.lit("'"), F.lit('"'))
@@ -80,25 +122,26 @@ def league_matches(scripts: DataFrame) -> DataFrame:
 
 
 class _Cells(HTMLParser):
-    """The cells of all rows of the table with an id, as lists of texts."""
+    """The rows of the table with an id: (colour, cells), a cell being (text, title, kind)."""
 
     def __init__(self, table_id: str):
         super().__init__()
-        self.table_id, self.depth, self.rows, self.text = table_id, 0, [], None
+        self.table_id, self.depth, self.rows, self.text, self.own = table_id, 0, [], None, ("", "")
 
     def handle_starttag(self, tag, attrs):
-        if tag == "table" and (self.depth or dict(attrs).get("id") == self.table_id):
+        of = dict(attrs)
+        if tag == "table" and (self.depth or of.get("id") == self.table_id):
             self.depth += 1
         elif self.depth and tag == "tr":
-            self.rows.append([])
+            self.rows.append((of.get("bgcolor"), []))
         elif self.depth and tag in ("td", "th") and self.rows:
-            self.text = []
+            self.text, self.own = [], (of.get("title"), of.get("oddstype"))
 
     def handle_endtag(self, tag):
         if tag == "table" and self.depth:
             self.depth -= 1
         elif tag in ("td", "th") and self.text is not None:
-            self.rows[-1].append("".join(self.text).strip())
+            self.rows[-1][1].append(("".join(self.text).strip(), *self.own))
             self.text = None
 
     def handle_data(self, data):
@@ -106,8 +149,11 @@ class _Cells(HTMLParser):
             self.text.append(data)
 
 
-def html_table(pages: DataFrame, table_id: str, encoding: str = "gb18030") -> DataFrame:
-    """(file, row_no, cells) of the table with ``table_id`` in pages (file, content binary); bytes are decoded as declared."""
+_CELL = pa.struct([("text", pa.string()), ("title", pa.string()), ("kind", pa.string())])
+
+
+def html_rows(pages: DataFrame, table_id: str, encoding: str = "gb18030") -> DataFrame:
+    """(file, row_no, colour, cells) of the table with ``table_id`` in pages (file, content binary); bytes are decoded as declared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,10 +161,16 @@ def html_table(pages: DataFrame, table_id: str, encoding: str = "gb18030") -> Da
             for file, content in zip(b["file"].to_pylist(), b["content"].to_pylist(), strict=True):
                 parser = _Cells(table_id)
                 parser.feed((content or b"").decode(encoding, "replace"))
-                out += [(file, i, r) for i, r in enumerate(parser.rows)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.list_(pa.string()))], names=["file", "row_no", "cells"])
+                out += [(file, i, c, [dict(zip(("text", "title", "kind"), x, strict=True)) for x in r]) for i, (c, r) in enumerate(parser.rows)]
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.list_(_CELL))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["file", "row_no", "colour", "cells"])
 
-    return pages.select("file", "content").mapInArrow(run, "file string, row_no int, cells array<string>")
+    return pages.select("file", "content").mapInArrow(run, "file string, row_no int, colour string, cells array<struct<text:string,title:string,kind:string>>")
+
+
+def html_table(pages: DataFrame, table_id: str, encoding: str = "gb18030") -> DataFrame:
+    """(file, row_no, cells) with the cells' texts only."""
+    return html_rows(pages, table_id, encoding).select("file", "row_no", F.col("cells.text").alias("cells"))
 
 
 def fused_cell(cell: Column) -> list[Column]:
