@@ -23,3 +23,34 @@ def test_kmeans_is_fitted_on_all_rows(spark, sf, learn_sf, monkeypatch):
     assert {f.__name__: sorted(map(tuple, f(spark, sf).collect())) for f in (learning.kmeans_prices, learning.kmeans_vectors)} == whole
     assert sorted(map(tuple, learning.kmeans_prices(spark, learn_sf).collect())) == groups
     assert sum(n for _, n in groups) == 21
+
+
+def test_dbscan_like_brute_force(spark):
+    import math
+    import random
+
+    from tidegrid.functions.series import cost_table
+    from tidegrid.operators.density import dbscan
+
+    rng, k, w, eps, least = random.Random(3), 5, 6, 0.4, 3
+    bases = ["".join(rng.choice("abcde") for _ in range(w)) for _ in range(6)]
+    words = [(i, "".join(c if rng.random() < 0.8 else rng.choice("abcde") for c in rng.choice(bases))) for i in range(120)] + [(200, None), (201, "abc")]
+    costs = cost_table(k, "cluster")
+    far = lambda a, b: math.sqrt(sum(costs[(ord(x) - 97) * k + ord(y) - 97] for x, y in zip(a, b)) / w)
+    rows = [r for r in words if r[1] and len(r[1]) == w]
+    near = {i: [j for j, b in rows if far(a, b) <= eps] for i, a in rows}
+    core = {i for i in near if len(near[i]) >= least}
+    want = {}
+    for i in sorted(core):
+        todo = [i] if i not in want else []
+        while todo:
+            j = todo.pop()
+            if j not in want:
+                want[j] = i
+                todo += [x for x in near[j] if x in core]
+    got = {r["id"]: r["cluster"] for r in dbscan(spark.createDataFrame(words, "id long, c string"), "id", "c", w, k, eps, least).collect()}
+    assert got[200] == got[201] == -1 and len(got) == len(words)
+    assert {i: got[i] for i in core} == want
+    for i, _ in rows:
+        if i not in core:
+            assert got[i] in {want[j] for j in near[i] if j in core} or (got[i] == -1 and not any(j in core for j in near[i]))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions import odds, series, trajectories
-from tidegrid.operators import asof, profile, skew, upsert
+from tidegrid.operators import asof, density, profile, skew, upsert
 from tidegrid.operators.reading_lists import reading_lists
 from tidegrid.plans import odds_tables
 from tidegrid.session import table
@@ -377,6 +377,17 @@ def x18(spark: SparkSession, sf: str) -> DataFrame:
     return skew.salted_join(w.select("label", F.col("vec_id").alias("b"), "word"), t, ["label"]).where("a <> b").select("a", "b", F.round(series.mindist(F.col("wa"), F.col("word"), WORD, ALPHABET), 6).alias("dist"))
 
 
+_EPS = 0.3
+_COST_C = "[" + ", ".join(repr(0.0 if abs(r - c) <= 1 else ([*series.DISTANCE_BREAKPOINTS[ALPHABET], 3.0][max(r, c)] - [*series.DISTANCE_BREAKPOINTS[ALPHABET], 3.0][min(r, c)]) ** 2) for r in range(ALPHABET) for c in range(ALPHABET)) + "]"
+
+
+@_query("ref_j14_near_words", f"WITH w AS (SELECT DISTINCT word AS w FROM ({_WORDS}) v) SELECT a.w AS a, b.w AS b, round(d, 6) AS dist FROM (SELECT *, sqrt(list_sum(list_transform(range(1, {WORD + 1}), lambda i: {_COST_C}[(ascii(substring(a.w, i, 1)) - 97) * {ALPHABET} + ascii(substring(b.w, i, 1)) - 96])) / {WORD}) AS d FROM w a JOIN w b ON a.w < b.w) x WHERE d <= {_EPS}".replace("SELECT a.w AS a, b.w AS b, round", "SELECT wa AS a, wb AS b, round").replace("(SELECT *, sqrt", "(SELECT a.w AS wa, b.w AS wb, sqrt"))
+def j14(spark: SparkSession, sf: str) -> DataFrame:
+    """The distance matrix of all different words as far as it is within a bound: i < j, by shared segments instead of all pairs."""
+    w = _words(spark, sf).select(F.col("word").alias("w")).distinct()
+    return density.near_words(w, WORD, ALPHABET, _EPS).select("a", "b", F.round("dist", 6).alias("dist"))
+
+
 @_query("ref_f08_tolerance", "SELECT t.id AS t_id, b.id FROM betting_odds t JOIN betting_odds b ON t.bookmaker_name = b.bookmaker_name AND t.id <> b.id AND t.id % 50 = 0 AND b.final_win > 0 AND t.final_win > 0 AND abs(CAST(b.final_win AS DOUBLE) - CAST(t.final_win AS DOUBLE)) <= CAST(t.final_win AS DOUBLE) * 0.01")
 def f08(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the same bookmaker within one percent of the price of every fiftieth row."""
@@ -489,6 +500,12 @@ def k02(spark: SparkSession, sf: str) -> DataFrame:
     return upsert.insert_absent(h.where("created_at < '2020-01-01'"), h.where("created_at >= '2018-01-01'"), ["match_id", "bookmaker"], [F.col("created_at").desc(), F.col("id").desc()]).drop("created_at")
 
 
+@_query("ref_s21_match_ids", "SELECT match_id FROM league_matches")
+def s21(spark: SparkSession, sf: str) -> DataFrame:
+    """The ids of all matches: one column is read."""
+    return table(spark, sf, "league_matches").select("match_id")
+
+
 @_query("ref_t08_seeded_sample", "SELECT id, match_id FROM league_matches ORDER BY md5(CAST(id AS VARCHAR) || '-42'), id LIMIT 100")
 def t08(spark: SparkSession, sf: str) -> DataFrame:
     """One hundred rows drawn by a seeded hash (a sampling operator)."""
