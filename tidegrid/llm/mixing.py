@@ -5,8 +5,8 @@ document's virtual finish time is the running token count of its source divided
 documents in order of that time, cut at the total budget. So at every point of the mixture each source has its share, up to
 one document, as long as it lasts.
 
-Running counts are made without gathering a source: within ``slices`` ranges of the shuffle hash, plus the totals of the
-ranges before, a table of at most ``slices`` rows per source. The same way finds the cut: totals per interval of virtual time.
+Running counts are made without gathering a source: within ranges of the shuffle hash (``slices``, by default one per
+``SLICE_ROWS`` documents), plus the totals of the ranges before, a table of at most ``slices`` rows per source. The same way finds the cut: totals per interval of virtual time.
 
 Defined results: documents with a NULL source, a source without target, or NULL tokens are in no mixture; a target source
 without documents stays empty and is reported; a document of 0 tokens costs nothing; ties of time are broken by source, round
@@ -18,6 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Documents of a slice, on average: what one task orders at once; the number of slices grows with the documents.
+SLICE_ROWS = 50_000
+
 
 def running_total(rows: DataFrame, group: list[str], position: str, order: list[str], amount: str, out: str) -> DataFrame:
     """Adds the running sum of ``amount`` per group in the order of ``position`` (a slice number), then ``order``.
@@ -31,7 +34,7 @@ def running_total(rows: DataFrame, group: list[str], position: str, order: list[
     return rows.withColumn("in_slice", F.sum(amount).over(within)).join(before, [*group, position]).withColumn(out, F.col("slice_before") + F.col("in_slice")).drop("slice_before", "in_slice")
 
 
-def mixture(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 1, slices: int = 1024) -> DataFrame:
+def mixture(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 1, slices: int | None = None) -> DataFrame:
     """Rows (mix_rank_tokens, source, doc_id, repeat_no, tokens, finish) of the mixture, ``mix_rank_tokens`` being the tokens
     up to and with the row. ``docs`` (doc_id, source, tokens) is read several times: write it first. ``targets`` (source,
     target_share, max_repeats) is a short list, read by the driver."""
@@ -44,7 +47,9 @@ def mixture(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed
     weights = F.create_map(*[F.lit(x) for s, (w, _) in wanted.items() for x in (s, w)])
     repeats = F.create_map(*[F.lit(x) for s, (_, m) in wanted.items() for x in (s, m)])
     docs = docs.where(F.col("source").isin(list(wanted)))
-    size = {r["source"]: int(r["t"]) for r in docs.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}  # one row per target
+    have = docs.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()  # one row per target
+    size = {r["source"]: int(r["t"]) for r in have}
+    slices = slices or max(16, -(-sum(r["n"] for r in have) // SLICE_ROWS))
     size = {s: t for s, t in size.items() if t > 0}
     if not size:
         return spark.createDataFrame([], shape)
