@@ -219,6 +219,36 @@ QUERIES = {
     "p7_detail_readings": p7_detail_readings,
 }
 
+# the texts as SQL sees them: unpacked from JSON strings, whole or not there
+_TEXT = "CASE WHEN json_valid({0}) THEN trim(CASE json_type({0}) WHEN 'VARCHAR' THEN json_extract_string({0}, '$') ELSE {0} END, ' \t\r\n') END"
+_WHOLE = "CASE WHEN json_valid({0}) AND json_type({0}) IN ('OBJECT', 'ARRAY') THEN CAST({0} AS JSON) END"
+
+
+def _whole(column: str, source: str, carry: str) -> str:
+    """``carry`` and ``j``, the JSON container in a text, however often it is packed into a string (here up to four times)."""
+    q = f"SELECT {carry}, trim({column}, ' \t\r\n') AS j FROM {source}"
+    for _ in range(4):
+        q = f"SELECT {carry}, {_TEXT.format('j')} AS j FROM ({q}) u"
+    return f"SELECT {carry}, {_WHOLE.format('j')} AS j FROM ({q}) u"
+
+
+_OBJECTS = "list_filter({0}, lambda x: json_type(x) = 'OBJECT')"
+_INNER = "CASE json_type({0}) WHEN 'ARRAY' THEN json_extract({0}, '$[*]') WHEN 'OBJECT' THEN json_extract({0}, '$.*') ELSE [] END"
+_PAYLOADS = f"WITH p AS ({_whole('payload', 'match_odds', 'id, schedule_id')}), "
+_BOX = "json_extract(j, '$.bookmakers')"
+_ENTRIES = _PAYLOADS + f"""l AS (SELECT id, schedule_id, CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') WHEN json_exists(j, '$.bookmakers') THEN coalesce({_INNER.format(_BOX)}, [])
+   WHEN json_exists(j, '$.bookmakerName') OR json_exists(j, '$.runningOdds') THEN [j] ELSE [] END AS es FROM p WHERE j IS NOT NULL),
+ u AS (SELECT id, schedule_id, unnest(es) AS e, unnest(range(len(es))) AS entry_no FROM l),
+ en AS (SELECT id, schedule_id, CAST(entry_no AS INT) AS entry_no, e, coalesce({_INNER.format("json_extract(e, '$.runningOdds')")}, []) AS rs FROM u WHERE json_type(e) = 'OBJECT')"""
+_DETAILS = f"""WITH d AS ({_whole('odds_detail', 'total_handicap', 'id, match_id, bookmaker')}),
+ l AS (SELECT id, match_id, bookmaker, CASE json_type(j) WHEN 'ARRAY' THEN json_extract(j, '$[*]') ELSE flatten(list_transform(json_extract(j, '$.*'), lambda b: coalesce({_INNER.format('b')}, []))) END AS rs FROM d WHERE j IS NOT NULL)"""
+_field = lambda of, path, name: f"json_extract_string({of}, '$.{path}') AS {name}"
+
+
+def _fields(level, of: str) -> str:
+    return ", ".join(_field(of, ".".join(path), name) for name, path in level.fields)
+
+
 SQL = {
     "p6_found": _P6 + "SELECT src, id, reason FROM judged WHERE reason IS NOT NULL",
     "p6_report": _P6 + "SELECT src, strftime(created_at, '%Y-%m') AS month, reason, CAST(count(*) AS BIGINT) AS n FROM judged WHERE reason IS NOT NULL GROUP BY ALL",
@@ -230,4 +260,8 @@ j AS (SELECT r.*, CASE WHEN m IS NULL THEN '1' ELSE '0' END || CASE WHEN b IS NU
 s AS (SELECT unnest(['simple', 'partial', 'full']) AS semantics)
 SELECT semantics, id, null_mask FROM j, s WHERE CASE null_mask WHEN '00' THEN NOT both_there WHEN '11' THEN false
   ELSE CASE semantics WHEN 'simple' THEN false WHEN 'full' THEN true ELSE CASE null_mask WHEN '01' THEN NOT m_there ELSE NOT b_there END END END""",
+    "p7_found": _ENTRIES + f" SELECT 'match_odds' AS src, id, json_extract_string(e, '$.bookmakerName') AS bookmaker, CAST(len({_OBJECTS.format('rs')}) AS INT) AS n_readings FROM en UNION ALL SELECT 'total_handicap', id, bookmaker, CAST(n AS INT) FROM ({_DETAILS} SELECT id, bookmaker, len({_OBJECTS.format('rs')}) AS n FROM l) x",
+    "p7_records": _PAYLOADS + f"r AS (SELECT * FROM p WHERE json_type(j) = 'OBJECT') SELECT id, schedule_id, {_fields(tables.RECORDS.levels[0], 'j')} FROM r",
+    "p7_entries": _ENTRIES + f" SELECT id, schedule_id, entry_no, {_fields(tables.ENTRIES.levels[0], 'e')}, CAST(len({_OBJECTS.format('rs')}) AS INT) AS n_readings FROM en",
+    "p7_readings": _ENTRIES + f", r AS (SELECT id, schedule_id, entry_no, e, unnest(rs) AS r, CAST(unnest(range(len(rs))) AS INT) AS seq FROM en) SELECT id, schedule_id, entry_no, {_fields(tables.READINGS.levels[0], 'e')}, seq, {_fields(tables.READINGS.levels[1], 'r')} FROM r WHERE json_type(r) = 'OBJECT'",
 }
