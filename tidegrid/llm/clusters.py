@@ -11,12 +11,11 @@ meet in a bucket of (block, length, segment). All links, and never all pairs of
   other labels in the same cell and the next one are compared by them, and are linked if these are similar;
 * what is left, two groups of which one has several records and whose representatives differ, is compared record by record.
 
-The clusters are the rows linked by similarity. They are built in rounds on this sparse graph: every cluster names its best
-neighbour, and all mutual best pairs, each with everything whose chain of names leads to it, merge in parallel; edges are
-relabelled, until none is left. Every cluster with an edge merges in each round, so their number at least halves and the
-rounds are logarithmic, however long a chain of records is; chains of names are shortened by pointer jumping. With average
-linkage a chain of similar rows would stop merging halfway; so the linkage between merged clusters is the best edge between
-them, under which the rounds end in exactly the linked groups (see README).
+The clusters are the rows linked by similarity. They are built in rounds on this sparse graph (``operators.components``):
+every cluster names its best neighbour, by the mean of the edges between them (average linkage), and all mutual best pairs,
+each with everything whose chain of names leads to it, merge in parallel, until no edge is left. Every edge is a similar pair,
+so no mean falls below the threshold before the clusters are the linked groups. Every cluster with an edge merges in each
+round, so their number at least halves and the rounds are logarithmic, however long a chain of records is.
 
 Defined results: rows with a NULL in block, code or mean take no part; repeated rows are rows like any other; ties between
 equally good neighbours are broken by a hash of the pair; codes of any length and alphabet; an empty table gives no row; other
